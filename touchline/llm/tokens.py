@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks that a Python worker remembers (each in two generations).
-CACHE = 300_000
+CACHE = 400_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -25,6 +25,9 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -38,15 +41,67 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.lowers = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.mark, self.mark_id = None, None
+        for mark in ("\n", " \x01 "):  # kept as a piece of its own by one or the other pre-tokenizer
+            one, two = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in (f"a{mark}b", f"ab,{mark},b"))
+            if len(one) == 3 and two.count(one[1]) == 1:
+                self.mark, self.mark_id = mark, one[1]
+                break
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _many(self, chunks: list[str]) -> list[bytes]:
+        """ids of chunks; printable ones are encoded as one text, with a mark between them that has an id of its own."""
+        if self.mark is None:
+            return self._library(chunks)
+        plain = [c for c in chunks if c.isprintable()]
+        if not plain:
+            return self._library(chunks)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+        if len(ends) != len(plain):
+            return self._library(chunks)
+        data = ids.tobytes()
+        found = [data[a:b] for a, b in zip([0, *(4 * ends[:-1] + 4).tolist()], (4 * ends).tolist(), strict=True)]
+        if len(plain) == len(chunks):
+            return found
+        rest = [c for c in chunks if not c.isprintable()]
+        both = dict(zip(plain, found, strict=True)) | dict(zip(rest, self._library(rest), strict=True))
+        return [both[c] for c in chunks]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Cache chunks.  Ink after a letter that is punctuation up to the chunk's end is a piece of its own in the
+        supported pre-tokenizers, so such a chunk is put together from its word and its tail."""
+        young, old = self.young, self.old
+        split, ask = [], {}
+        for chunk in chunks:
+            word = chunk.rstrip(_PUNCTUATION)
+            if word != chunk and word[-1:].isalpha():
+                parts = (self._folded(word), chunk[len(word) :])
+            else:
+                parts = (self._folded(chunk),)
+            split.append(parts)
+            for p in parts:
+                if p not in young:
+                    if p in old:
+                        young[p] = old[p]
+                    else:
+                        ask[p] = None
+        if ask:
+            young.update(zip(ask, self._many(list(ask)), strict=True))
+        for chunk, parts in zip(chunks, split, strict=True):
+            young[chunk] = b"".join([young[p] for p in parts])
+
+    def _folded(self, chunk: str) -> str:
+        return chunk.lower() if self.lowers and chunk.isascii() else chunk
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        late: list[tuple[int, list[str]]] = []
+        late: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         new: dict[str, None] = {}
         whole: list[int] = []
         young, old = self.young, self.old
@@ -61,23 +116,24 @@ class Encoder:
                 if None not in ids:
                     out[k] = b"".join(ids)
                     continue
-                odd = False
-                for p, have in zip(parts, ids, strict=True):
-                    if have is None:
-                        if p in old:
-                            young[p] = old[p]
-                        elif p == " " or p[1:2].isspace():
-                            odd = True
-                        else:
-                            new[p] = None
-                if odd:
-                    whole.append(k)
+                gaps = [i for i, have in enumerate(ids) if have is None]
+                for i in gaps:
+                    p = parts[i]
+                    if p in old:
+                        young[p] = old[p]
+                    elif p == " " or p[1:2].isspace():
+                        whole.append(k)
+                        break
+                    else:
+                        new[p] = None
                 else:
-                    late.append((k, parts))
+                    late.append((k, parts, ids, gaps))
         if new:
-            young.update(zip(new, self._library(list(new)), strict=True))
-        for k, parts in late:
-            out[k] = b"".join([young[p] for p in parts])
+            self._learn(list(new))
+        for k, parts, ids, gaps in late:
+            for i in gaps:
+                ids[i] = young[parts[i]]
+            out[k] = b"".join(ids)
         if whole:
             for k, ids in zip(whole, self._library([texts[k] for k in whole]), strict=True):
                 out[k] = ids
