@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from touchline.llm import oracles
 from touchline.llm.common import table
 from touchline.llm.decontamination import find_items
+from touchline.llm.ngram_join import jaccard_components
 from touchline.llm.packing import pack
 from touchline.llm.quality_cnn import in_fold, score_quality, train_quality
 from touchline.llm.quality_rules import quality_rules
@@ -34,6 +35,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -67,6 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGISTERED = [
     op1_quality_classifier,
     op2_sharding,
+    op3_ngram_jaccard_join,
     op4_toxicity,
     op5_url_filters,
     op6_substring_dedup,
