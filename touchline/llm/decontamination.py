@@ -72,3 +72,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, k: int = K, share: int = S
     found = best.filter(100 * F.col("n_shared") >= share * F.col("n_item_shingles"))
     named = found.join(items.select("item", "item_id").distinct(), "item")
     return named.select("doc_id", "item_id", "n_item_shingles", "n_shared", (F.col("n_shared") / F.col("n_item_shingles")).alias("containment"))
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, k: int = K, share: int = SHARE, id_col: str = "doc_id") -> DataFrame:
+    """The rows, with all their columns, whose id contains no item."""
+    found = find_items(docs, benchmark, k, share, id_col).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_found")), "left_anti")

@@ -218,6 +218,25 @@ class NgramJoin:
         found = named.join(firsts, "root").select("cls", "component")
         return rows.join(found, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
+    def keepers(self) -> DataFrame:
+        """doc_id, t1 of one row of each component: the least id (null ids last), then the least text hash."""
+        _, roots = self.links()
+        rows = self.classes.select("doc_id", "t1", "cls")
+        placed = rows.filter("cls is not null").join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "t1", F.coalesce("root", "cls").alias("root"))
+        one = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t1")).alias("one")).select("one.doc_id", "one.t1")
+        return one.unionByName(rows.filter("cls is null").select("doc_id", "t1").distinct())
+
+
+def keep_one_of_each(docs: DataFrame, k: int = K, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stay if one row of each component does.
+
+    Rows without shingles are no copies of anything and stay; of rows that repeat both id and text one stays.
+    """
+    kept = NgramJoin(docs, k, share, id_col, text_col).keepers().select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"))
+    keyed = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("_i", F.col(id_col).cast("long"))
+    met = keyed.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_t1")), "left_semi")
+    return met.dropDuplicates(["_i", "_t"]).select(*docs.columns)
+
 
 def jaccard_components(docs: DataFrame, k: int = K, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: components of documents linked by shingle Jaccard >= share/100.

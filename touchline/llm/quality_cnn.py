@@ -163,3 +163,15 @@ def score_quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_co
 
     bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return bare.mapInArrow(run, "doc_id long, score double")
+
+
+def keep_quality(docs: DataFrame, net: Network, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is at least ``least``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [net.score(data, offsets) for _, _, data, offsets in text_chunks(batch.column(at), 1 << 18)]
+            yield batch.filter(pa.array(np.concatenate(scores or [np.zeros(0)]) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

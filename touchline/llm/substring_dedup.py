@@ -192,6 +192,32 @@ def repeated_marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     return marked.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
 
 
+def _with_marks(docs: DataFrame, marks: DataFrame, text_col: str) -> DataFrame:
+    """The rows with the lists _starts and _masks of their texts."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.crc32(text)})
+    found = keyed.join(marks.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "marks"), ["_t1", "_t2"], "left")
+    return found.select(*docs.columns, F.coalesce("marks.start", F.array().cast("array<int>")).alias("_starts"), F.coalesce("marks.mask", F.array().cast("array<bigint>")).alias("_masks"))
+
+
+def _strip(column: pa.Array, starts: pa.Array, masks: pa.Array, window: int, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
+    """(first row, end row, words, removed words, kept words joined by a space) of steps through a batch."""
+    for a, b, data, offsets in text_chunks(column):
+        words = Words(data, offsets)
+        own = starts.slice(a, b - a)
+        counts = np.diff(np.asarray(own.offsets))
+        place = np.repeat(words.first[:-1], counts) + np.asarray(own.flatten())
+        mask = np.asarray(masks.slice(a, b - a).flatten())
+        edge = np.zeros(len(words.start) + 1, np.int64)
+        for bit in range(bits):
+            at = place[(mask >> bit) & 1 == 1] + bit
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + window, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        kept = [k.rstrip(b" ") for k in _kept_bytes(words, offsets, ~gone)]
+        yield a, b, np.diff(words.first), np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first]), kept
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the kept words joined by one space) of every row.
 
@@ -199,33 +225,42 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     window remove each other.  Null ids are rows like others; other columns are ignored.
     """
     marks = materialize(repeated_marks(docs, window, gram, batches, text_col))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.withColumns({"t1": F.xxhash64("text"), "t2": F.crc32("text")})
-    joined = keyed.join(marks, ["t1", "t2"], "left").select("doc_id", "text", F.coalesce("marks.start", F.array().cast("array<int>")).alias("starts"), F.coalesce("marks.mask", F.array().cast("array<bigint>")).alias("masks"))
+    bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    bits = window - gram + 1
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for a, b, data, offsets in text_chunks(batch.column(1)):
-                words = Words(data, offsets)
-                starts, masks = batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)
-                counts = np.diff(np.asarray(starts.offsets))
-                place = np.repeat(words.first[:-1], counts) + np.asarray(starts.flatten())
-                mask = np.asarray(masks.flatten())
-                edge = np.zeros(len(words.start) + 1, np.int64)
-                for bit in range(window - gram + 1):
-                    at = place[(mask >> bit) & 1 == 1] + bit
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = [k.rstrip(b" ") for k in _kept_bytes(words, offsets, ~gone)]
-                n_words = np.diff(words.first)
-                n_gone = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
+            for a, b, n_words, n_gone, kept in _strip(batch.column(1), batch.column(2), batch.column(3), window, bits):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(n_words), pa.array(n_gone), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode("utf-8", "replace") for k in kept])],
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return _with_marks(bare, marks, "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows, with all their columns, without their repeated words.
+
+    A text that loses words becomes its kept words joined by one space, and a column of lengths follows it; other
+    texts stay as they are.  Rows that lose all their words go.
+    """
+    marks = materialize(repeated_marks(docs, window, gram, batches, text_col))
+    at, n, bits = docs.columns.index(text_col), len(docs.columns), window - gram + 1
+    length = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for a, b, n_words, n_gone, kept in _strip(batch.column(at), batch.column(n), batch.column(n + 1), window, bits):
+                columns = [batch.column(i).slice(a, b - a) for i in range(n)]
+                texts = [k.decode("utf-8", "replace") if g else t for k, g, t in zip(kept, n_gone.tolist(), columns[at].to_pylist(), strict=True)]
+                columns[at] = pa.array(texts, columns[at].type)
+                if length is not None:
+                    columns[length] = pa.array([len(t) if g else x for t, g, x in zip(texts, n_gone.tolist(), columns[length].to_pylist(), strict=True)], columns[length].type)
+                yield pa.RecordBatch.from_arrays(columns, docs_names).filter(pa.array((n_gone < n_words) | (n_words == 0)))
+
+    docs_names = docs.columns
+    return _with_marks(docs, marks, text_col).mapInArrow(run, docs.schema)
 
 
 def _kept_bytes(words: Words, offsets: np.ndarray, keep: np.ndarray) -> Iterator[bytes]:
