@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from touchline import registry
+from touchline.queries import quality  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
