@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from touchline import registry
-from touchline.queries import quality, temporal  # noqa: F401
+from touchline.queries import merge, quality, temporal  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
