@@ -175,7 +175,8 @@ def repeated_marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
         found = index.add(segments.filter(F.pmod("t1", F.lit(batches)) == k).select("fp"))
         repeated = found if repeated is None else repeated.unionByName(found)
     index.close()
-    chosen = materialize(segments.join(repeated.distinct(), "fp"))
+    # tables of distinct keys are written before they are joined, so that Spark can split a hot key of the other side
+    chosen = materialize(segments.join(materialize(repeated.distinct()), "fp"))
     # copies of a segment shrink to a count; an anchor whose segments are all alike needs no closer look
     alike = materialize(chosen.groupBy("fp", "ctx").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min(F.struct("t1", "t2", "start")).alias("one")))
     forms = alike.groupBy("fp").agg(F.count("*").alias("forms"), F.sum("c").alias("all"))
@@ -186,8 +187,9 @@ def repeated_marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     texts = _keyed(docs, text_col).join(per_text, ["t1", "t2"]).select("text", F.col("x.start").alias("starts"), F.col("x.n").alias("ns"), F.col("x.ctx").alias("ctxs"))
     windows = materialize(_windows_of(texts, window).distinct().join(mixed.select("ctx", "c"), "ctx"))
     twice = windows.groupBy("w1", "w2").agg(F.sum("c").alias("c")).filter("c > 1").select("w1", "w2")
+    twice = materialize(twice)
     part = windows.join(twice, ["w1", "w2"]).groupBy("ctx").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    masks = full.unionByName(part).groupBy("ctx").agg(F.bit_or("mask").alias("mask"))
+    masks = materialize(full.unionByName(part).groupBy("ctx").agg(F.bit_or("mask").alias("mask")))
     marked = chosen.select("ctx", "t1", "t2", "start").distinct().join(masks, "ctx")
     return marked.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
 
