@@ -166,7 +166,7 @@ class NgramJoin:
         size_class = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
         placed = tokens.filter("rows > 2").select("tok", "cls", "n", "i").join(roots, F.col("cls") == F.col("node"), "left").select("tok", "cls", "n", "i", F.coalesce("root", "cls").alias("root"))
         several = placed.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tok")
-        placed = placed.join(several, "tok")
+        placed = placed.join(materialize(several), "tok")  # written first, so that Spark can split a hot token
         low, high = F.ceil(F.col("n") * self.share / 100), F.floor(F.col("n") * 100 / self.share)
         sized = placed.withColumn("own", size_class(F.col("n"))).withColumn("other", F.explode(F.sequence(size_class(low), size_class(high))))
         least_partner = F.greatest(low, F.floor(F.pow(F.lit(RATIO), F.col("other"))))
@@ -174,7 +174,7 @@ class NgramJoin:
         sized = sized.select("tok", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "cls", "n", "i", "root")
         key = ["tok", "p", "q"]
         mixed = sized.groupBy(*key).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select(*key)
-        sized = materialize(sized.join(mixed, key))
+        sized = materialize(sized.join(materialize(mixed), key))
         left, right = sized.alias("l"), sized.alias("r")
         cond = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in key]
         cond += [F.col("l.cls") < F.col("r.cls"), F.col("l.root") != F.col("r.root"), _possible(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i"), self.share)]
@@ -183,8 +183,8 @@ class NgramJoin:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs that also pass the other orders and whose sets are similar enough."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        chosen = self.classes.select("cls", "doc_id", "t1").join(ids, "cls").groupBy("cls").agg(F.min(F.struct("doc_id", "t1")).alias("one"))
-        chosen = chosen.select("cls", F.col("one.doc_id").alias("id"), F.col("one.t1").alias("t"))
+        first = self.classes.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "t1")).alias("one"))
+        chosen = first.join(ids, "cls").select("cls", F.col("one.doc_id").alias("id"), F.col("one.t1").alias("t"))
         texts = self.docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("t"))).select("cls", "text")
         sets = materialize(_full_sets(texts, self.frequent, self.k, self.share))
         side = lambda x: sets.select(F.col("cls").alias(x), F.col("second").alias(f"{x}2"), F.col("third").alias(f"{x}3"))
