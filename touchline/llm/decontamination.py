@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import materialize
-from touchline.llm.quality_rules import window_hashes
+from touchline.llm.quality_rules import with_windows
 
 K, SHARE = 5, 80
 #: Up to so many sketch hashes the sketches are broadcast; beyond, both sides are shuffled.
@@ -29,16 +29,17 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingle_texts(words: Column, k: int) -> Column:
-    """Distinct runs of k words, as texts."""
-    length = F.greatest(F.size(words) - (k - 1), F.lit(0))
-    sides = F.arrays_zip(*[F.slice(words, j + 1, length).alias(f"w{j}") for j in range(k)])
-    return F.array_distinct(F.transform(sides, lambda x: F.concat_ws(" ", *[x[f"w{j}"] for j in range(k)])))
+def with_shingle_texts(df: DataFrame, k: int, name: str) -> DataFrame:
+    """Add the distinct runs of k words of ``text``, as texts."""
+    words = df.withColumn("_words", normal_words(F.col("text")))
+    length = F.greatest(F.size("_words") - (k - 1), F.lit(0))
+    sides = F.arrays_zip(*[F.slice("_words", j + 1, length).alias(f"w{j}") for j in range(k)])
+    return words.withColumn(name, F.array_distinct(F.transform(sides, lambda x: F.concat_ws(" ", *[x[f"w{j}"] for j in range(k)])))).drop("_words")
 
 
 def sketches(items: DataFrame, k: int = K, share: int = SHARE) -> DataFrame:
     """item, need (shared shingles that make it contained), hash: the bottom-k MinHash of each item."""
-    shingles = items.select("item", F.explode(F.array_distinct(window_hashes(normal_words(F.col("text")), k))).alias("hash"))
+    shingles = with_windows(items, normal_words(F.col("text")), k).select("item", F.explode(F.array_distinct("windows")).alias("hash"))
     sized = shingles.groupBy("item").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.log2("n")).cast("int"))
     by_part = sized.groupBy("part").agg(F.max("n").alias("most")).withColumn("keep", F.col("most") - F.ceil(F.col("most") * share / 100) + 1)
     ranked = shingles.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("hash")))
@@ -58,15 +59,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, k: int = K, share: int = S
     marks = materialize(sketches(distinct, k, share))
     small = marks.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hashed = text.select("doc_id", window_hashes(normal_words(F.col("text")), k).alias("hashes"))
-    looked = hashed.select("doc_id", F.explode("hashes").alias("hash"))
+    looked = with_windows(text, normal_words(F.col("text")), k).select("doc_id", F.explode_outer("windows").alias("hash"))  # explode would test the size first, and compute all twice
     met = looked.join(F.broadcast(marks) if small else marks, "hash").select("doc_id", "item").distinct()
     candidates = materialize(met)
-    wanted = distinct.select("item", shingle_texts(normal_words(F.col("text")), k).alias("item_shingles"))
+    wanted = with_shingle_texts(distinct, k, "item_shingles").select("item", "item_shingles")
     # the text is fetched for documents with a candidate; ids may be null
     pairs = candidates.withColumnRenamed("doc_id", "_id").join(text, F.col("_id").eqNullSafe(F.col("doc_id")))
-    shared = pairs.join(wanted, "item").select(
-        "doc_id", "item", F.size("item_shingles").cast("long").alias("n_item_shingles"), F.size(F.array_intersect(shingle_texts(normal_words(F.col("text")), k), "item_shingles")).cast("long").alias("n_shared")
+    shared = with_shingle_texts(pairs, k, "shingles").join(wanted, "item").select(
+        "doc_id", "item", F.size("item_shingles").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("shingles", "item_shingles")).cast("long").alias("n_shared")
     )
     best = shared.groupBy("doc_id", "item", "n_item_shingles").agg(F.max("n_shared").alias("n_shared"))
     found = best.filter(100 * F.col("n_shared") >= share * F.col("n_item_shingles"))

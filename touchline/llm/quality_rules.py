@@ -32,13 +32,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def window_hashes(words: Column, k: int) -> Column:
-    """Hash of each run of k words.  Lambdas see only their own element, never the whole array, so the cost stays
-    linear even if the optimizer writes ``words`` out in place."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    length = F.greatest(F.size(words) - (k - 1), F.lit(0))
-    sides = F.arrays_zip(*[F.slice(hashes, j + 1, length).alias(f"w{j}") for j in range(k)])
-    return F.transform(sides, lambda x: F.xxhash64(*[x[f"w{j}"] for j in range(k)]))
+def with_windows(df: DataFrame, words: Column, k: int, name: str = "windows") -> DataFrame:
+    """Add the hash of each run of k words.
+
+    Word hashes become a column of their own first: they are read k times, so the optimizer keeps that projection
+    apart and texts are split once.  Lambdas see only their own element, never a whole array, so the cost stays linear
+    however expressions are moved."""
+    hashed = df.withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    length = F.greatest(F.size("_hashes") - (k - 1), F.lit(0))
+    sides = F.arrays_zip(*[F.slice("_hashes", j + 1, length).alias(f"w{j}") for j in range(k)])
+    return hashed.withColumn(name, F.transform(sides, lambda x: F.xxhash64(*[x[f"w{j}"] for j in range(k)]))).drop("_hashes")
 
 
 def _repeated_words(windows: Column) -> Column:
@@ -70,7 +73,7 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bare = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     split = bare.withColumns({"words": words_of(F.col("text")), "lines": F.filter(F.split("text", r"\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     words, lines = F.col("words"), F.col("lines")
-    return split.withColumn("windows", window_hashes(words, WINDOW)).select(
+    return with_windows(split, words, WINDOW).select(
         "doc_id",
         F.size(words).cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
