@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from touchline import registry
-from touchline.queries import markets, merge, quality, temporal  # noqa: F401
+from touchline.queries import graph, markets, merge, quality, temporal, text  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
