@@ -7,6 +7,7 @@ Arrow string column, a few megabytes at a time, so memory does not follow the le
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +78,13 @@ class Materialized:
             _kept.remove((self.spark, self.path))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: they go when the driver collects its garbage, which a
+    driver with free memory may not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     return Materialized(df, codec).read()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import materialize
+from touchline.llm.common import Materialized
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -18,16 +18,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every step is a partial aggregation and an equi-join, written to the shared folder; steps end when the edges are
     stars around the least nodes.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    held = Materialized(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
+        now = held.read()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _least(both).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large)
-        low = _least(large)
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.*").filter("u <> v").distinct())
+        large = Materialized(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        small = large.read().join(_least(large.read()), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        following = Materialized(small.select("e.*").filter("u <> v").distinct())
+        held.drop()
+        large.drop()
+        held, now = following, following.read()
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             break

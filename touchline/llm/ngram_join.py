@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import Words, materialize, mix, ragged, shingles, text_chunks
+from touchline.llm.common import Materialized, Words, materialize, mix, ragged, release, shingles, text_chunks
 from touchline.llm.components import connected_components
 
 K, SHARE = 4, 85
@@ -138,7 +138,7 @@ class NgramJoin:
     """The steps of the join over one table; see the module's text."""
 
     def __init__(self, docs: DataFrame, k: int = K, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> None:
-        self.k, self.share = k, share
+        self.k, self.share, self.spark = k, share, docs.sparkSession
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("text"))
         self.frequent = frequent_tokens(self.docs, k)
@@ -186,17 +186,23 @@ class NgramJoin:
         first = self.classes.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "t1")).alias("one"))
         chosen = first.join(ids, "cls").select("cls", F.col("one.doc_id").alias("id"), F.col("one.t1").alias("t"))
         texts = self.docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("t"))).select("cls", "text")
-        sets = materialize(_full_sets(texts, self.frequent, self.k, self.share))
+        held = Materialized(_full_sets(texts, self.frequent, self.k, self.share))
+        sets = held.read()
+        release(self.spark)
         side = lambda x: sets.select(F.col("cls").alias(x), F.col("second").alias(f"{x}2"), F.col("third").alias(f"{x}3"))
         left = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b").distinct()
         whole = lambda x: sets.select(F.col("cls").alias(x), F.col("tokens").alias(f"{x}t"))
         both = left.join(whole("a"), "a").join(whole("b"), "b")
         common = F.size(F.array_intersect("at", "bt"))
-        return materialize(both.filter(100 * common >= self.share * (F.size("at") + F.size("bt") - common)).select("a", "b").distinct())
+        found = materialize(both.filter(100 * common >= self.share * (F.size("at") + F.size("bt") - common)).select("a", "b").distinct())
+        held.drop()
+        release(self.spark)
+        return found
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links between classes that connect all components, and the components' roots."""
         tokens = self.tokens()
+        release(self.spark)
         first = materialize(self.leader_pairs(tokens))
         links = self.verified(first)
         roots = connected_components(links)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import Words, _window_sums, materialize, mix, ragged, shared_dir, text_chunks
+from touchline.llm.common import Words, _window_sums, materialize, mix, release, shared_dir, text_chunks
 
 WINDOW, GRAM = 35, 8
 #: Batches in which a whole table is fed to a new index.
@@ -175,6 +175,7 @@ def repeated_marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
         found = index.add(segments.filter(F.pmod("t1", F.lit(batches)) == k).select("fp"))
         repeated = found if repeated is None else repeated.unionByName(found)
     index.close()
+    release(spark)
     # tables of distinct keys are written before they are joined, so that Spark can split a hot key of the other side
     chosen = materialize(segments.join(materialize(repeated.distinct()), "fp"))
     # copies of a segment shrink to a count; an anchor whose segments are all alike needs no closer look
@@ -186,6 +187,7 @@ def repeated_marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     per_text = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "n", "ctx")).alias("x"))
     texts = _keyed(docs, text_col).join(per_text, ["t1", "t2"]).select("text", F.col("x.start").alias("starts"), F.col("x.n").alias("ns"), F.col("x.ctx").alias("ctxs"))
     windows = materialize(_windows_of(texts, window).distinct().join(mixed.select("ctx", "c"), "ctx"))
+    release(spark)
     twice = windows.groupBy("w1", "w2").agg(F.sum("c").alias("c")).filter("c > 1").select("w1", "w2")
     twice = materialize(twice)
     part = windows.join(twice, ["w1", "w2"]).groupBy("ctx").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
