@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.prob import clip
@@ -96,13 +96,18 @@ def team_means(matches: DataFrame, complete: bool = False) -> DataFrame:
     """Goals for and against by team and venue, with the league's means where a team has no row of a venue.
 
     Unless ``complete``, home rows need corners and away rows cards (rows that statistics can be learnt from)."""
-    league = matches.groupBy("league").agg(F.avg("hg").alias("league_home"), F.avg("ag").alias("league_away"))
-    at_home = matches if complete else matches.filter("hc is not null")
-    at_away = matches if complete else matches.filter("hy is not null")
-    home = at_home.groupBy("league", F.col("home").alias("team")).agg(F.avg("hg").alias("hf"), F.avg("ag").alias("ha"))
-    away = at_away.groupBy("league", F.col("away").alias("team")).agg(F.avg("ag").alias("af"), F.avg("hg").alias("aa"))
-    both = home.join(away, ["league", "team"], "full").join(league, "league")
-    return both.select(
+    home = F.struct(F.col("home").alias("team"), F.lit(True).alias("at_home"), (F.lit(complete) | F.col("hc").isNotNull()).alias("counts"))
+    away = F.struct(F.col("away").alias("team"), F.lit(False).alias("at_home"), (F.lit(complete) | F.col("hy").isNotNull()).alias("counts"))
+    rows = matches.select("league", "hg", "ag", F.explode(F.array(home, away)).alias("s")).select("league", "hg", "ag", "s.*")
+    # one aggregation by team; the league's means follow from its home rows, a row for each team
+    at = lambda flag, x: F.avg(F.when((F.col("at_home") == flag) & F.col("counts"), F.col(x)))
+    total = lambda x: F.sum(F.when(F.col("at_home"), F.col(x)))
+    teams = rows.groupBy("league", "team").agg(
+        at(True, "hg").alias("hf"), at(True, "ag").alias("ha"), at(False, "ag").alias("af"), at(False, "hg").alias("aa"), total("hg").alias("sh"), total("ag").alias("sa"), F.count_if(F.col("at_home")).alias("n")
+    )
+    whole = Window.partitionBy("league")
+    teams = teams.withColumns({"league_home": F.sum("sh").over(whole) / F.sum("n").over(whole), "league_away": F.sum("sa").over(whole) / F.sum("n").over(whole)}).filter("hf is not null or af is not null")
+    return teams.select(
         "league", "team", "league_home", "league_away", F.coalesce("hf", "league_home").alias("home_for"), F.coalesce("ha", "league_away").alias("home_against"), F.coalesce("af", "league_away").alias("away_for"), F.coalesce("aa", "league_home").alias("away_against")
     )
 
