@@ -144,7 +144,7 @@ class NgramJoin:
         self.frequent = frequent_tokens(self.docs, k)
         self.classes = materialize(_classes(self.docs, self.frequent, k, share))
 
-    def tokens(self) -> DataFrame:
+    def tokens(self) -> Materialized:
         """tok, cls, n, i, lead (i, cls, n of the token's leader), rows: prefix tokens that more than one class has."""
         rows = self.classes.filter("cls is not null").select("cls", "n", "light", F.posexplode("prefix").alias("i", "tok"))
         lead = F.struct("i", "cls", "n")
@@ -154,7 +154,7 @@ class NgramJoin:
         heavy = rows.filter("i >= light").select("tok", "cls", "n", "i").distinct()
         leads = heavy.groupBy("tok").agg(F.min(lead).alias("lead"), F.max("cls").alias("most"), F.min("cls").alias("least"), F.count("*").alias("rows"))
         heavy = heavy.join(F.broadcast(leads.filter("most <> least")), "tok")  # at most FREQUENT rows
-        return materialize(light.filter("most <> least").unionByName(heavy.select(light.columns)).select("tok", "cls", "n", "i", "lead", "rows"))
+        return Materialized(light.filter("most <> least").unionByName(heavy.select(light.columns)).select("tok", "cls", "n", "i", "lead", "rows"))
 
     def leader_pairs(self, tokens: DataFrame) -> DataFrame:
         met = tokens.filter(F.col("cls") != F.col("lead.cls")).filter(_possible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), self.share))
@@ -180,21 +180,35 @@ class NgramJoin:
         cond += [F.col("l.cls") < F.col("r.cls"), F.col("l.root") != F.col("r.root"), _possible(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i"), self.share)]
         return left.join(right, cond).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that also pass the other orders and whose sets are similar enough."""
+    def _sets_of(self, pairs: DataFrame) -> Materialized:
+        """The sets, and their prefixes under the other orders, of the classes in pairs."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         first = self.classes.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "t1")).alias("one"))
         chosen = first.join(ids, "cls").select("cls", F.col("one.doc_id").alias("id"), F.col("one.t1").alias("t"))
         texts = self.docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("t"))).select("cls", "text")
-        held = Materialized(_full_sets(texts, self.frequent, self.k, self.share))
-        sets = held.read()
-        release(self.spark)
+        return Materialized(_full_sets(texts, self.frequent, self.k, self.share))
+
+    def _passing(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs that share prefix tokens under the other orders too."""
         side = lambda x: sets.select(F.col("cls").alias(x), F.col("second").alias(f"{x}2"), F.col("third").alias(f"{x}3"))
-        left = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b").distinct()
+        met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+        return materialize(met.select("a", "b").distinct())
+
+    def _similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         whole = lambda x: sets.select(F.col("cls").alias(x), F.col("tokens").alias(f"{x}t"))
-        both = left.join(whole("a"), "a").join(whole("b"), "b")
+        both = pairs.join(whole("a"), "a").join(whole("b"), "b")
         common = F.size(F.array_intersect("at", "bt"))
-        found = materialize(both.filter(100 * common >= self.share * (F.size("at") + F.size("bt") - common)).select("a", "b").distinct())
+        return materialize(both.filter(100 * common >= self.share * (F.size("at") + F.size("bt") - common)).select("a", "b").distinct())
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that also pass the other orders and whose sets are similar enough.
+
+        Each step is written and its shuffle files are let go before the next one, so the peak of disk is one step's."""
+        held = self._sets_of(pairs)
+        release(self.spark)
+        passing = self._passing(pairs, held.read())
+        release(self.spark)
+        found = self._similar(passing, held.read())
         held.drop()
         release(self.spark)
         return found
@@ -203,10 +217,12 @@ class NgramJoin:
         """Links between classes that connect all components, and the components' roots."""
         tokens = self.tokens()
         release(self.spark)
-        first = materialize(self.leader_pairs(tokens))
+        first = materialize(self.leader_pairs(tokens.read()))
         links = self.verified(first)
         roots = connected_components(links)
-        rest = materialize(self.other_pairs(tokens, roots).join(first, ["a", "b"], "left_anti"))
+        rest = materialize(self.other_pairs(tokens.read(), roots).join(first, ["a", "b"], "left_anti"))
+        tokens.drop()
+        release(self.spark)
         if rest.limit(1).count():
             more = self.verified(rest)
             if more.limit(1).count():
