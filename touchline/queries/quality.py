@@ -168,10 +168,10 @@ def u01(spark, sf_dir):
     return c.select("league", F.col("home").alias("team")).union(c.select("league", "away")).distinct()
 
 
-@query("u04_only_away", ctes("contests") + " SELECT DISTINCT league, away AS team FROM contests WHERE hg > 3 EXCEPT SELECT league, home FROM contests WHERE hg > 3 AND ag > 2")
+@query("u04_only_away", ctes("contests") + " SELECT DISTINCT league, away AS team FROM contests WHERE hg > 3 EXCEPT SELECT league, home FROM contests WHERE hg > 3 AND ag > 2 AND match_date < DATE '1995-02-15'")
 def u04(spark, sf_dir):
     c = contests(spark, sf_dir).filter("hg > 3")
-    return c.select("league", F.col("away").alias("team")).distinct().join(c.filter("ag > 2").select("league", F.col("home").alias("team")), ["league", "team"], "left_anti")
+    return c.select("league", F.col("away").alias("team")).distinct().join(c.filter("ag > 2 and match_date < date'1995-02-15'").select("league", F.col("home").alias("team")), ["league", "team"], "left_anti")
 
 
 @query("t01_latest", CANON + " SELECT league, match_date, home, away, ok, ln FROM canon ORDER BY match_date DESC, ok DESC, ln DESC, pk DESC, sk DESC LIMIT 100")
