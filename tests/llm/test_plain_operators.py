@@ -136,6 +136,19 @@ def test_encoder_equals_library(name, spark, sf_dir):
             assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_equal_a_fresh_tokenizer(name, spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path(name)
+    fresh, own = Tokenizer.from_file(path), Encoder(path)
+    texts = ["a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|>", " <|endoftext|>", "x\n<|endoftext|>\ny", "a<|startoftext|>b c", "a <|ENDOFTEXT|>b <|EndOfText|>", "<|ENDOFTEXT|> d", "see <|endoftext", "|> <|end oftext|>", "a\0<|endoftext|>b"]
+    texts += [r.text for r in documents(spark).collect()] + [r.text for r in table(spark, sf_dir, "documents").collect()]
+    for _ in range(2):
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == fresh.encode(text or "", add_special_tokens=False).ids
+
+
 def test_token_files(spark, sf_dir):
     own = Encoder(vocabulary_path("byte_bpe_50k.json"))
     for docs in (documents(spark), table(spark, sf_dir, "documents")):

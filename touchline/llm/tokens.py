@@ -2,8 +2,8 @@
 
 A text is cut before each single space; a chunk never changes the ids of its neighbours in the supported vocabularies
 (their pre-tokenizers never cross from ink to a following space).  A text in which white space follows a space, or that ends
-in one, is encoded in one piece, and so is a text with a NUL.  Pieces that were seen before come from a bounded cache, all others
-from the library.
+in one, is encoded in one piece, and so is a text with a NUL or with the content of an added token ('<|endoftext|>').  Pieces that
+were seen before come from a bounded cache, all others from the library.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.lowers = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
@@ -97,7 +97,16 @@ class Encoder:
             young[chunk] = b"".join([young[p] for p in parts])
 
     def _folded(self, chunk: str) -> str:
-        return chunk.lower() if self.lowers and chunk.isascii() else chunk
+        if not (self.lowers and chunk.isascii()):
+            return chunk
+        low = chunk.lower()
+        return chunk if self._has_added(low) else low  # added tokens are found before letters are folded
+
+    def _has_added(self, text: str) -> bool:
+        for content in self.added:
+            if content in text:
+                return True
+        return False
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -106,7 +115,7 @@ class Encoder:
         whole: list[int] = []
         young, old = self.young, self.old
         for k, text in enumerate(texts):
-            parts = (text or "").replace(" ", "\0 ").split("\0") if text and "\0" not in text else None
+            parts = (text or "").replace(" ", "\0 ").split("\0") if text and "\0" not in text and not self._has_added(text) else None
             if not text:
                 out[k] = b""
             elif parts is None:
