@@ -93,6 +93,34 @@ def test_triangles_and_ratings(spark):
     assert rated[0].home_rating == 0 and rated[1].home_rating > 0 > rated[1].away_rating
 
 
+def test_every_fixture_is_looked_up_and_every_row_a_rating(spark, sf_dir):
+    from touchline import catalog
+    from touchline.queries.quality import canon
+
+    rows = canon(spark, sf_dir).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.league, r.match_date), []).append(r)
+    tie = lambda r: (r.ok, r.ln, r.pk, r.sk)
+    want = {}
+    for q in rows:
+        near = [c for d in range(-2, 3) for c in by.get((q.league, q.match_date + dt.timedelta(days=d)), []) if tie(c) != tie(q) and (q.home in c.home or c.home in q.home) and (q.away in c.away or c.away in q.away)]
+        if near:
+            last = max(near, key=lambda c: (c.match_date, *tie(c)))
+            want[tie(q)] = (f"{last.hg}-{last.ag}", len(near))
+    got = {tie(r): (r.score, r.n) for r in catalog.queries()["j12_every_fixture_near_date"](spark, sf_dir).collect()}
+    assert got == want and any(k[0] % 40 != 1 for k in got)
+    ratings = {}
+    for r in rows:
+        day_of = ratings.setdefault((r.league, r.home), {})
+        day_of[r.match_date] = max(day_of.get(r.match_date, 0.0), 0.5 if r.conf is None else r.conf)
+    rated = []
+    for c in rows:
+        seen = {d: v for d, v in ratings.get((c.league, c.away), {}).items() if d <= c.match_date}
+        rated.append((c.league, c.match_date, c.home, c.away, seen[max(seen)] if seen else 0.5))
+    assert sorted(map(tuple, catalog.queries()["j07_asof_every_rating"](spark, sf_dir).collect())) == sorted(rated)
+
+
 def test_asof_takes_the_last_known_value(spark):
     left = spark.createDataFrame([("x", 5), ("x", 1), ("y", 9)], "k string, t int")
     right = spark.createDataFrame([("x", 2, 0.2), ("x", 5, 0.5), ("x", 6, 0.6)], "k string, t int, v double")

@@ -133,6 +133,20 @@ def j12(spark, sf_dir):
     return met.groupBy(*[F.col(f"q.{x}").alias(x) for x in M.TIE]).agg(F.max_by(F.concat_ws("-", "c.hg", "c.ag"), newest).alias("score"), F.count("*").alias("n"))
 
 
+@query("j12_every_fixture_near_date", CANON + """, q AS (SELECT *, unnest([-2, -1, 0, 1, 2]) AS off FROM canon)
+ SELECT q.ok, q.ln, q.pk, q.sk, arg_max(concat(CAST(c.hg AS VARCHAR), '-', CAST(c.ag AS VARCHAR)), [epoch_ms(c.match_date::TIMESTAMP), c.ok, c.ln, c.pk, c.sk]) AS score, CAST(count(*) AS BIGINT) AS n FROM q JOIN canon c ON q.league = c.league AND q.match_date + q.off = c.match_date
+ AND (contains(q.home, c.home) OR contains(c.home, q.home)) AND (contains(q.away, c.away) OR contains(c.away, q.away)) AND (q.ok, q.ln, q.pk, q.sk) <> (c.ok, c.ln, c.pk, c.sk) GROUP BY ALL""")
+def j12_every(spark, sf_dir):
+    """Every fixture is looked up among all others; ``j12_substring_near_date`` looks up one in forty, as its SQL does."""
+    c = canon(spark, sf_dir).select("league", "match_date", "home", "away", "hg", "ag", *M.TIE)
+    q = c.withColumn("day", F.explode(F.sequence(F.date_sub("match_date", 2), F.date_add("match_date", 2)))).drop("hg", "ag", "match_date")
+    q = q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns])
+    inside = lambda x: F.col(f"q_{x}").contains(F.col(x)) | F.col(x).contains(F.col(f"q_{x}"))
+    other = F.struct(*[f"q_{x}" for x in M.TIE]) != F.struct(*M.TIE)
+    met = q.join(c, (F.col("q_league") == F.col("league")) & (F.col("q_day") == F.col("match_date")) & inside("home") & inside("away") & other)
+    return met.groupBy(*[F.col(f"q_{x}").alias(x) for x in M.TIE]).agg(F.max_by(F.concat_ws("-", "hg", "ag"), F.struct("match_date", *M.TIE)).alias("score"), F.count("*").alias("n"))
+
+
 @query("j13_id_or_key", VERSIONS + """ SELECT n.ok, n.ln, coalesce(max(a.hc), max(b.hc)) AS hc, CASE WHEN count(a.ok) > 0 THEN 'id' WHEN count(b.home) > 0 THEN 'key' ELSE 'none' END AS how FROM new n LEFT JOIN old a ON a.ok = n.ok AND a.ln = n.ln
  LEFT JOIN (SELECT league, match_date, home, max(hc) AS hc FROM old GROUP BY ALL) b ON b.league = n.league AND b.match_date = n.match_date AND b.home = n.home GROUP BY n.ok, n.ln""")
 def j13(spark, sf_dir):

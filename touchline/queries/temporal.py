@@ -141,6 +141,15 @@ def j07(spark, sf_dir):
     return T.asof(c.select("league", "match_date", "home", "away"), ratings, ["league", "away"], ["league", "team"], "match_date", "rating", 0.5)
 
 
+@query("j07_asof_every_rating", CANON + """, r AS (SELECT league, home AS team, match_date, max(coalesce(conf, 0.5e0)) AS rating FROM canon GROUP BY ALL)
+ SELECT c.league, c.match_date, c.home, c.away, coalesce((SELECT arg_max(r.rating, r.match_date) FROM r WHERE r.league = c.league AND r.team = c.away AND r.match_date <= c.match_date), 0.5e0) AS rating FROM canon c""")
+def j07_every(spark, sf_dir):
+    """Every canonical row is a rating; ``j07_asof_rating`` takes a fifth of them, as its SQL does."""
+    c = canon(spark, sf_dir)
+    ratings = c.groupBy("league", F.col("home").alias("team"), "match_date").agg(F.max(F.coalesce("conf", F.lit(0.5))).alias("rating"))
+    return T.asof(c.select("league", "match_date", "home", "away"), ratings, ["league", "away"], ["league", "team"], "match_date", "rating", 0.5)
+
+
 @query("j20_latest_rating_top3", CANON + """, r AS (SELECT league, home AS team, arg_max(coalesce(conf, 0.5e0), concat(CAST(match_date AS VARCHAR), lpad(CAST(ok AS VARCHAR), 12, '0'), lpad(CAST(ln AS VARCHAR), 4, '0'), lpad(CAST(pk AS VARCHAR), 9, '0'), lpad(CAST(sk AS VARCHAR), 9, '0'))) AS rating FROM canon GROUP BY ALL)
  SELECT league, team, rating FROM (SELECT *, row_number() OVER (PARTITION BY league ORDER BY rating DESC, team) AS rn FROM r) WHERE rn <= 3""")
 def j20(spark, sf_dir):
