@@ -93,6 +93,19 @@ def test_triangles_and_ratings(spark):
     assert rated[0].home_rating == 0 and rated[1].home_rating > 0 > rated[1].away_rating
 
 
+def test_pagerank_goes_on_until_ranks_stand_still(spark):
+    """A one-way chain of 30 nodes needs 29 rounds; three leave its end far from the fixed point."""
+    e = spark.createDataFrame([("L", f"n{i:02}", f"n{i + 1:02}", 1) for i in range(29)] + [("K", "a", "b", 2), ("K", "b", "a", 1), ("K", "b", "c", 3), ("K", "c", "a", 1)], "league string, src string, dst string, weight int")
+    want = {("L", f"n{i:02}"): 0.15 / 30 * (1 - 0.85 ** (i + 1)) / 0.15 for i in range(30)}
+    k = {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}
+    for _ in range(300):
+        k = {"a": 0.05 + 0.85 * (k["b"] / 4 + k["c"]), "b": 0.05 + 0.85 * k["a"], "c": 0.05 + 0.85 * k["b"] * 3 / 4}
+    want |= {("K", n): r for n, r in k.items()}
+    got = {(r.league, r.node): r.rank for r in G.pagerank_converged(e).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    assert G.pagerank_converged(e.limit(0)).count() == 0
+
+
 def test_every_fixture_is_looked_up_and_every_row_a_rating(spark, sf_dir):
     from touchline import catalog
     from touchline.queries.quality import canon

@@ -40,6 +40,30 @@ def pagerank(edges: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFr
     return rank.drop("size")
 
 
+def pagerank_converged(edges: DataFrame, tolerance: float = 1e-10, damping: float = 0.85, every: int = 5) -> DataFrame:
+    """``pagerank`` continued until no rank moves by more than ``tolerance`` in a round; ranks are written each few rounds.
+
+    A round shrinks the changes by the damping at least, so it ends on any graph."""
+    from touchline.llm.common import materialize
+
+    nodes = edges.select("league", F.col("src").alias("node")).union(edges.select("league", "dst")).distinct()
+    size = nodes.groupBy("league").agg(F.count("*").alias("size"))
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("league", "src"))
+    out = materialize(edges.select("league", F.col("src").alias("node"), "dst", share.alias("share")))
+    sized = materialize(nodes.join(size, "league"))
+    rank = sized.withColumn("rank", 1.0 / F.col("size"))
+    while True:
+        for _ in range(every):
+            flow = rank.join(out, ["league", "node"]).groupBy("league", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+            before = rank.select("league", "node", F.col("rank").alias("before"))
+            new = (1 - damping) / F.col("size") + damping * F.coalesce("flow", F.lit(0.0))
+            rank = sized.join(before, ["league", "node"]).join(flow, ["league", "node"], "left").select("league", "node", "size", new.alias("rank"), F.abs(new - F.col("before")).alias("moved"))
+        rank = materialize(rank)
+        if (rank.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            return rank.select("league", "node", "rank")
+        rank = rank.drop("moved")
+
+
 def replay_ratings(matches: DataFrame, rate: float = 0.035, carry: float = 0.7) -> DataFrame:
     """Home and away ratings of both teams before each match, updated match by match in a league's order.
 
