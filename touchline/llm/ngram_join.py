@@ -1,19 +1,24 @@
 """Operator 3: n-gram Jaccard join by filters under several global token orders.
 
-A document is the set of its four-word shingles; equal sets are one class.  If two sets of Jaccard similarity t or more
-are sorted by any one global order, their prefixes (n - ceil(t n) + 1 tokens) share a token.  Candidates must do so
-under three orders: two that put very frequent tokens last and hash the rest differently, and a plain hash order.
-The first order makes the pairs, with the size and position bounds of prefix filtering; the others filter them before
-the sets are intersected.
-
-Frequent tokens are the top of a lossy count over all documents (each chunk reports what it has three times).  Any
-order is correct, so the bound on that list (FREQUENT) never changes a result.
+A document is the set of its word shingles; equal sets are one class.  If two sets of Jaccard similarity t or more are
+sorted by any one global order, their prefixes (n - ceil(t n) + 1 tokens) share a token.  Candidates must do so under
+three orders, and all three are applied before sets are compared:
+
+1. A hash order, over all classes.  The first FACTOR * (n - ceil(t n)) + 1 tokens of a class must hold more than
+   (FACTOR - 1) * (n - ceil(t n)) that another class has there too, which two aggregations count.  The classes
+   that pass are few, and only their whole sets are built.
+2. Rare tokens first: by the number of passing classes that have a token, counted over whole sets.  Passages that many
+   documents share stand last, so that they make no candidates.  This order makes the pairs, with the size and
+   position bounds of prefix filtering.
+3. Another hash order.  A pair must share a prefix token under it and under the first one.
 
 Connectivity does not need all pairs.  First each class meets the *leader* of each of its prefix tokens, the class
 with the least position there; verified links are contracted to components.  Then only classes of different components
 are paired.  For this a token is split further by the sizes of both partners: a class enters the bucket of a partner
 size only where its position still allows the overlap that this size needs.  A bucket with one component is dropped,
 so the members of a large group of near copies do not meet one another.
+
+Very long texts are one set like others; memory in a task follows the largest single text, not the batch.
 """
 
 from __future__ import annotations
@@ -27,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import Materialized, Words, materialize, mix, ragged, release, shingles, text_chunks
+from touchline.llm.common import Materialized, Words, free_names, materialize, mix, ragged, release, shingles, text_chunks
 from touchline.llm.components import connected_components
 
 K, SHARE = 4, 85
-#: Tokens that may stand last in an order (a broadcast of 8 bytes each), and the count that a chunk reports.
-FREQUENT, REPORT = 1 << 16, 3
-_ORDER2, _ORDER3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+#: Tokens that the first order looks at, in multiples of n - ceil(t n).
+FACTOR = 2
+_ORDER3 = np.uint64(0xD6E8FEB86659FD93)
 #: Ratio of neighbouring size classes.
 RATIO = 1.03
 
@@ -56,72 +61,48 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray]
         yield a, b, out
 
 
-def prefix_length(n: int | np.ndarray, share: int) -> int | np.ndarray:
-    return n - -(-share * n // 100) + 1
-
-
-def _last(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent) or not len(tokens):
-        return np.zeros(len(tokens), bool)
-    return frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+def slack(n: int | np.ndarray, share: int) -> int | np.ndarray:
+    """Tokens that a set of n tokens may lack in a similar one; its prefixes are one longer."""
+    return n - -(-share * n // 100)
 
 
-def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """The FREQUENT most counted tokens of the lossy count, sorted."""
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    return ragged(np.concatenate(sets).view(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, sets in _sets(batch.column(0), k):
-                tokens, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= REPORT
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["tok", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "tok").limit(FREQUENT).select("tok").collect()  # bounded by FREQUENT
-    return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
+def _name(tokens: np.ndarray) -> int | None:
+    """64 bits that stand for a set."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
-def _classes(docs: DataFrame, frequent: np.ndarray, k: int, share: int) -> DataFrame:
-    """doc_id, t1, n, cls (null for empty sets), prefix under the first order, light (prefix tokens before frequent ones)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _heads(docs: DataFrame, k: int, share: int) -> DataFrame:
+    """doc_id, t1, n, cls (null for empty sets), head: the first tokens under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
         for batch in batches:
             for a, b, sets in _sets(batch.column(2), k):
                 n = np.array([len(u) for u in sets], np.int64)
-                prefixes, light, names = [], [], []
-                for u in sets:
-                    last = _last(u, often)
-                    p = prefix_length(len(u), share) if len(u) else 0
-                    prefixes.append(np.concatenate([u[~last], u[last]])[:p])
-                    light.append(min(p, len(u) - int(last.sum())))
-                    names.append(int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) if len(u) else None)
-                ranges = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(names, pa.int64()), ragged(np.concatenate(prefixes).view(np.int64), ranges, pa.int64()), pa.array(light, pa.int32())],
-                    ["doc_id", "t1", "n", "cls", "prefix", "light"],
-                )
-
-    return docs.select("doc_id", "t1", "text").mapInArrow(run, "doc_id long, t1 long, n long, cls long, prefix array<long>, light int")
-
-
-def _full_sets(docs: DataFrame, frequent: np.ndarray, k: int, share: int) -> DataFrame:
-    """cls, tokens, prefixes under the second and third order, of chosen documents (cls, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+                heads = _lists([u[: FACTOR * slack(len(u), share) + 1] for u in sets])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array([_name(u) for u in sets], pa.int64()), heads], ["doc_id", "t1", "n", "cls", "head"])
+
+    return docs.select("doc_id", "t1", "text").mapInArrow(run, "doc_id long, t1 long, n long, cls long, head array<long>")
+
+
+def _whole_sets(texts: DataFrame, k: int, share: int) -> DataFrame:
+    """cls, n, tokens (in the first order), third (prefix under the third order) of chosen texts (cls, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in _sets(batch.column(1), k):
-                lists: list[list[np.ndarray]] = [sets, [], []]
-                for u in sets:
-                    p, last = prefix_length(len(u), share), _last(u, shared.value)
-                    lists[1].append(u[np.lexsort((mix(u ^ _ORDER2), last))][:p])
-                    lists[2].append(u[np.argsort(mix(u ^ _ORDER3))][:p])
-                columns = [ragged(np.concatenate(x).view(np.int64), np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int64()) for x in lists]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["cls", "tokens", "second", "third"])
+                third = [u[np.argsort(mix(u ^ _ORDER3))][: slack(len(u), share) + 1] for u in sets]
+                n = pa.array(np.array([len(u) for u in sets], np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n, _lists(sets), _lists(third)], ["cls", "n", "tokens", "third"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, n long, tokens array<long>, third array<long>")
 
-    return docs.select("cls", "text").mapInArrow(run, "cls long, tokens array<long>, second array<long>, third array<long>")
+
+def _slack(n: Column, share: int) -> Column:
+    return n - F.ceil(share * n / 100)
 
 
 def _needed(n: Column, m: Column, share: int) -> Column:
@@ -141,30 +122,54 @@ class NgramJoin:
         self.k, self.share, self.spark = k, share, docs.sparkSession
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("text"))
-        self.frequent = frequent_tokens(self.docs, k)
-        self.classes = materialize(_classes(self.docs, self.frequent, k, share))
+        heads = Materialized(_heads(self.docs, k, share))
+        self.sets = self._sets_of(self._passing_classes(heads.read()))
+        self.rows = Materialized(heads.read().select("doc_id", "t1", "n", "cls"))
+        heads.drop()
+        release(self.spark)
+
+    def _passing_classes(self, heads: DataFrame) -> DataFrame:
+        """cls and one row (doc_id, t1) of each class that the first order lets through."""
+        tokens = heads.select("cls", F.explode("head").alias("tok"))
+        held = tokens.groupBy("tok").agg(F.min("cls").alias("cls"), F.max("cls").alias("most"))
+        alone = held.filter("cls = most").groupBy("cls").agg(F.count("*").alias("alone"))
+        classes = heads.filter("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "t1")).alias("one"))
+        passing = classes.join(alone, "cls", "left").filter(F.coalesce("alone", F.lit(0)) <= _slack(F.col("n"), self.share))
+        found = materialize(passing.select("cls", F.col("one.doc_id").alias("id"), F.col("one.t1").alias("t")))
+        release(self.spark)
+        return found
+
+    def _sets_of(self, chosen: DataFrame) -> Materialized:
+        """The whole sets of chosen classes, each once."""
+        texts = self.docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("t"))).groupBy("cls").agg(F.first("text").alias("text"))
+        found = Materialized(_whole_sets(texts, self.k, self.share))
+        release(self.spark)
+        return found
 
     def tokens(self) -> Materialized:
-        """tok, cls, n, i, lead (i, cls, n of the token's leader), rows: prefix tokens that more than one class has."""
-        rows = self.classes.filter("cls is not null").select("cls", "n", "light", F.posexplode("prefix").alias("i", "tok"))
-        lead = F.struct("i", "cls", "n")
-        light = rows.filter("i < light").select("tok", "cls", "n", "i")
-        by_token = Window.partitionBy("tok")  # frequent tokens go the other way
-        light = light.withColumns({"lead": F.min(lead).over(by_token), "most": F.max("cls").over(by_token), "least": F.min("cls").over(by_token), "rows": F.count("*").over(by_token)})
-        heavy = rows.filter("i >= light").select("tok", "cls", "n", "i").distinct()
-        leads = heavy.groupBy("tok").agg(F.min(lead).alias("lead"), F.max("cls").alias("most"), F.min("cls").alias("least"), F.count("*").alias("rows"))
-        heavy = heavy.join(F.broadcast(leads.filter("most <> least")), "tok")  # at most FREQUENT rows
-        return Materialized(light.filter("most <> least").unionByName(heavy.select(light.columns)).select("tok", "cls", "n", "i", "lead", "rows"))
+        """tok, cls, n, i: prefix tokens under the second order that more than one class has, with their places."""
+        every = self.sets.read().select("cls", "n", F.explode("tokens").alias("tok"))
+        # written first, so that Spark can split a hot token of the other side
+        common = Materialized(every.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1"))
+        by_class = Window.partitionBy("cls")
+        placed = every.join(common.read(), "tok").withColumns({"rank": F.row_number().over(by_class.orderBy("c", "tok")), "all": F.count("*").over(by_class)})
+        # tokens of one class alone stand before the others
+        placed = placed.withColumn("i", F.col("n") - F.col("all") + F.col("rank") - 1).filter(F.col("i") <= _slack(F.col("n"), self.share))
+        found = Materialized(placed.select("tok", "cls", "n", "i"))
+        common.drop()
+        release(self.spark)
+        return found
 
     def leader_pairs(self, tokens: DataFrame) -> DataFrame:
-        met = tokens.filter(F.col("cls") != F.col("lead.cls")).filter(_possible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), self.share))
+        leads = materialize(tokens.groupBy("tok").agg(F.min(F.struct("i", "n", "cls")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("tok", "lead"))
+        met = tokens.join(leads, "tok").filter(F.col("cls") != F.col("lead.cls")).filter(_possible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), self.share))
         return met.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
 
     def other_pairs(self, tokens: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of classes of different components that the first order lets through."""
+        """Pairs of classes of different components that the second order lets through."""
         step = math.log(RATIO)
         size_class = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
-        placed = tokens.filter("rows > 2").select("tok", "cls", "n", "i").join(roots, F.col("cls") == F.col("node"), "left").select("tok", "cls", "n", "i", F.coalesce("root", "cls").alias("root"))
+        placed = tokens.join(roots, F.col("cls") == F.col("node"), "left").select("tok", "cls", "n", "i", F.coalesce("root", "cls").alias("root"))
         several = placed.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tok")
         placed = placed.join(materialize(several), "tok")  # written first, so that Spark can split a hot token
         low, high = F.ceil(F.col("n") * self.share / 100), F.floor(F.col("n") * 100 / self.share)
@@ -180,60 +185,40 @@ class NgramJoin:
         cond += [F.col("l.cls") < F.col("r.cls"), F.col("l.root") != F.col("r.root"), _possible(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i"), self.share)]
         return left.join(right, cond).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
 
-    def _sets_of(self, pairs: DataFrame) -> Materialized:
-        """The sets, and their prefixes under the other orders, of the classes in pairs."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        first = self.classes.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "t1")).alias("one"))
-        chosen = first.join(ids, "cls").select("cls", F.col("one.doc_id").alias("id"), F.col("one.t1").alias("t"))
-        texts = self.docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("t"))).select("cls", "text")
-        return Materialized(_full_sets(texts, self.frequent, self.k, self.share))
-
-    def _passing(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs that share prefix tokens under the other orders too."""
-        side = lambda x: sets.select(F.col("cls").alias(x), F.col("second").alias(f"{x}2"), F.col("third").alias(f"{x}3"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
-        return materialize(met.select("a", "b").distinct())
-
-    def _similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b; each once) that also pass the first and third order and whose sets are similar enough."""
+        sets = self.sets.read()
+        side = lambda x: sets.select(F.col("cls").alias(x), F.slice("tokens", F.lit(1), (_slack(F.col("n"), self.share) + 1).cast("int")).alias(f"{x}1"), F.col("third").alias(f"{x}3"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a3", "b3"))
+        passing = materialize(met.select("a", "b"))
         whole = lambda x: sets.select(F.col("cls").alias(x), F.col("tokens").alias(f"{x}t"))
-        both = pairs.join(whole("a"), "a").join(whole("b"), "b")
+        both = passing.join(whole("a"), "a").join(whole("b"), "b")
         common = F.size(F.array_intersect("at", "bt"))
-        return materialize(both.filter(100 * common >= self.share * (F.size("at") + F.size("bt") - common)).select("a", "b").distinct())
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that also pass the other orders and whose sets are similar enough.
-
-        Each step is written and its shuffle files are let go before the next one, so the peak of disk is one step's."""
-        held = self._sets_of(pairs)
-        release(self.spark)
-        passing = self._passing(pairs, held.read())
-        release(self.spark)
-        found = self._similar(passing, held.read())
-        held.drop()
+        found = materialize(both.filter(100 * common >= self.share * (F.size("at") + F.size("bt") - common)).select("a", "b"))
         release(self.spark)
         return found
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links between classes that connect all components, and the components' roots."""
         tokens = self.tokens()
-        release(self.spark)
         first = materialize(self.leader_pairs(tokens.read()))
         links = self.verified(first)
         roots = connected_components(links)
         rest = materialize(self.other_pairs(tokens.read(), roots).join(first, ["a", "b"], "left_anti"))
         tokens.drop()
-        release(self.spark)
         if rest.limit(1).count():
             more = self.verified(rest)
             if more.limit(1).count():
                 links = links.unionByName(more)
                 roots = connected_components(links)
+        self.sets.drop()
+        release(self.spark)
         return links, roots
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         _, roots = self.links()
-        rows = self.classes.select("doc_id", "n", "cls")
+        rows = self.rows.read()
         named = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(roots, F.col("cls") == F.col("node"), "left")
         named = named.select("cls", "least", F.coalesce("root", "cls").alias("root"))
         firsts = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -243,7 +228,7 @@ class NgramJoin:
     def keepers(self) -> DataFrame:
         """doc_id, t1 of one row of each component: the least id (null ids last), then the least text hash."""
         _, roots = self.links()
-        rows = self.classes.select("doc_id", "t1", "cls")
+        rows = self.rows.read()
         placed = rows.filter("cls is not null").join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "t1", F.coalesce("root", "cls").alias("root"))
         one = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t1")).alias("one")).select("one.doc_id", "one.t1")
         return one.unionByName(rows.filter("cls is null").select("doc_id", "t1").distinct())
@@ -252,12 +237,15 @@ class NgramJoin:
 def keep_one_of_each(docs: DataFrame, k: int = K, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that stay if one row of each component does.
 
-    Rows without shingles are no copies of anything and stay; of rows that repeat both id and text one stays.
+    Rows without shingles (null, empty or blank texts) are no copies of anything and stay; of rows that repeat both id
+    and text one stays.  Of a component the least id stays, null ids last.  Columns may have any names and are passed
+    through; an empty table gives an empty one.
     """
-    kept = NgramJoin(docs, k, share, id_col, text_col).keepers().select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"))
-    keyed = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("_i", F.col(id_col).cast("long"))
-    met = keyed.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_t1")), "left_semi")
-    return met.dropDuplicates(["_i", "_t"]).select(*docs.columns)
+    i, t, j, s = free_names(docs, "id", "text", "kept_id", "kept_text")
+    kept = NgramJoin(docs, k, share, id_col, text_col).keepers().select(F.col("doc_id").alias(j), F.col("t1").alias(s))
+    keyed = docs.withColumns({t: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), i: F.col(id_col).cast("long")})
+    met = keyed.join(kept, F.col(i).eqNullSafe(F.col(j)) & (F.col(t) == F.col(s)), "left_semi")
+    return met.dropDuplicates([i, t]).drop(i, t)
 
 
 def jaccard_components(docs: DataFrame, k: int = K, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,6 +253,6 @@ def jaccard_components(docs: DataFrame, k: int = K, share: int = SHARE, id_col:
 
     A-Z are lower-cased; words are runs of ink.  A text of fewer than k words is one shingle; null and blank texts have
     none and are linked with nothing.  component_id is the least id of the component, null ids aside; repeated rows are
-    linked like copies.  An empty table gives no rows; other columns are ignored.
+    linked like copies.  An empty table gives no rows; other columns are ignored.  Shingles are compared by 64-bit hashes.
     """
     return NgramJoin(docs, k, share, id_col, text_col).components()
