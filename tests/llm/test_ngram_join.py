@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm.fixtures import documents, empty, prose
 from touchline.llm.common import table
 from touchline.llm.components import connected_components
-from touchline.llm.ngram_join import jaccard_components
+from touchline.llm.ngram_join import NgramJoin, jaccard_components
 
 
 def shingle_set(text, k=4):
@@ -20,8 +20,8 @@ def shingle_set(text, k=4):
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
 
 
-def brute(rows, share=85):
-    sets = [shingle_set(t) for _, t in rows]
+def brute(rows, share=85, k=4):
+    sets = [shingle_set(t, k) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -50,9 +50,9 @@ def brute(rows, share=85):
     return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=lambda x: tuple((v is not None, v) for v in x))
 
 
-def check(docs):
-    got = sorted((tuple(r) for r in jaccard_components(docs).collect()), key=lambda x: tuple((v is not None, v) for v in x))
-    assert got == brute([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()])
+def check(docs, share=85, k=4):
+    got = sorted((tuple(r) for r in jaccard_components(docs, k, share).collect()), key=lambda x: tuple((v is not None, v) for v in x))
+    assert got == brute([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], share, k)
 
 
 def test_fixture(spark):
@@ -82,6 +82,17 @@ def test_edited_copies(spark, seed):
 
 def test_table(spark):
     check(table(spark, "/root/testdata/sf0.01", "documents"))
+    check(table(spark, "/root/testdata/sf0.01", "documents"), 80, 5)
+
+
+def test_repeated_rows(spark):
+    """Sixty copies each of two near texts, under one id for each text, meet as two classes."""
+    words = prose(77, 150).split()
+    pair = [" ".join(words), " ".join([*words[:70], "other", *words[71:]])]
+    docs = documents(spark, [("en", 900 + i, t, "s", "k", "w") for i, t in enumerate(pair) for _ in range(60)])
+    check(docs)
+    join = NgramJoin(docs)
+    assert join.sets.read().count() == join.sets.read().select("cls").distinct().count()
 
 
 def test_components_of_a_chain(spark):

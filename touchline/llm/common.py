@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -80,9 +81,11 @@ class Materialized:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: they go when the driver collects its garbage, which a
-    driver with free memory may not do for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    driver with free memory may not do for long.  What the first round lets go of may hold more, hence the second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:

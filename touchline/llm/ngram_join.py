@@ -75,17 +75,28 @@ def _name(tokens: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
-def _heads(docs: DataFrame, k: int, share: int) -> DataFrame:
-    """doc_id, t1, n, cls (null for empty sets), head: the first tokens under the first order."""
+def _named(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, t1, n, cls (null for empty sets) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in _sets(batch.column(2), k):
-                n = np.array([len(u) for u in sets], np.int64)
+                n = pa.array(np.array([len(u) for u in sets], np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), n, pa.array([_name(u) for u in sets], pa.int64())], ["doc_id", "t1", "n", "cls"])
+
+    return docs.select("doc_id", "t1", "text").mapInArrow(run, "doc_id long, t1 long, n long, cls long")
+
+
+def _heads(docs: DataFrame, k: int, share: int) -> DataFrame:
+    """cls, head (the first tokens under the first order) of each row; texts are read again, so no token is stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, sets in _sets(batch.column(0), k):
                 heads = _lists([u[: FACTOR * slack(len(u), share) + 1] for u in sets])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array([_name(u) for u in sets], pa.int64()), heads], ["doc_id", "t1", "n", "cls", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array([_name(u) for u in sets], pa.int64()), heads], ["cls", "head"])
 
-    return docs.select("doc_id", "t1", "text").mapInArrow(run, "doc_id long, t1 long, n long, cls long, head array<long>")
+    return docs.select("text").mapInArrow(run, "cls long, head array<long>")
 
 
 def _whole_sets(texts: DataFrame, k: int, share: int) -> DataFrame:
@@ -122,18 +133,15 @@ class NgramJoin:
         self.k, self.share, self.spark = k, share, docs.sparkSession
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("text"))
-        heads = Materialized(_heads(self.docs, k, share))
-        self.sets = self._sets_of(self._passing_classes(heads.read()))
-        self.rows = Materialized(heads.read().select("doc_id", "t1", "n", "cls"))
-        heads.drop()
-        release(self.spark)
+        self.rows = Materialized(_named(self.docs, k))
+        self.sets = self._sets_of(self._passing_classes(self.rows.read()))
 
-    def _passing_classes(self, heads: DataFrame) -> DataFrame:
+    def _passing_classes(self, rows: DataFrame) -> DataFrame:
         """cls and one row (doc_id, t1) of each class that the first order lets through."""
-        tokens = heads.select("cls", F.explode("head").alias("tok"))
+        tokens = _heads(self.docs, self.k, self.share).select("cls", F.explode("head").alias("tok"))
         held = tokens.groupBy("tok").agg(F.min("cls").alias("cls"), F.max("cls").alias("most"))
         alone = held.filter("cls = most").groupBy("cls").agg(F.count("*").alias("alone"))
-        classes = heads.filter("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "t1")).alias("one"))
+        classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "t1")).alias("one"))
         passing = classes.join(alone, "cls", "left").filter(F.coalesce("alone", F.lit(0)) <= _slack(F.col("n"), self.share))
         found = materialize(passing.select("cls", F.col("one.doc_id").alias("id"), F.col("one.t1").alias("t")))
         release(self.spark)
@@ -141,7 +149,8 @@ class NgramJoin:
 
     def _sets_of(self, chosen: DataFrame) -> Materialized:
         """The whole sets of chosen classes, each once."""
-        texts = self.docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("t"))).groupBy("cls").agg(F.first("text").alias("text"))
+        # a merge join at any size, so that small and large tables take the same way
+        texts = self.docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("t"))).groupBy("cls").agg(F.first("text").alias("text"))
         found = Materialized(_whole_sets(texts, self.k, self.share))
         release(self.spark)
         return found
