@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import Words, _window_sums, materialize, mix, release, shared_dir, text_chunks
+from touchline.llm.common import Materialized, Words, _window_sums, drop_path, free_names, materialize, mix, release, shared_dir, text_chunks
 
 WINDOW, GRAM = 35, 8
 #: Batches in which a whole table is fed to a new index.
@@ -79,8 +79,6 @@ class FingerprintIndex:
             self.runs = [r for r in self.runs if r[1] not in (a, b)]
 
     def drop(self, name: str) -> None:
-        from touchline.llm.common import drop_path
-
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         drop_path(self.spark, f"{shared_dir(self.spark).rstrip('/')}/{name}")
 
@@ -168,40 +166,54 @@ def repeated_marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     spark = docs.sparkSession
     if window - gram + 1 > 62:
         raise ValueError("the windows of an anchor must fit a mask of 62 bits")
-    segments = materialize(segments_of(docs, window, gram, text_col))
+    segments = Materialized(segments_of(docs, window, gram, text_col))
     index = FingerprintIndex(spark)
     repeated = None
     for k in range(batches):
-        found = index.add(segments.filter(F.pmod("t1", F.lit(batches)) == k).select("fp"))
+        found = index.add(segments.read().filter(F.pmod("t1", F.lit(batches)) == k).select("fp"))
         repeated = found if repeated is None else repeated.unionByName(found)
+        release(spark)
     index.close()
-    release(spark)
     # tables of distinct keys are written before they are joined, so that Spark can split a hot key of the other side
-    chosen = materialize(segments.join(materialize(repeated.distinct()), "fp"))
+    distinct = Materialized(repeated.distinct())
+    chosen = Materialized(segments.read().join(distinct.read(), "fp"))
+    segments.drop()
+    distinct.drop()
+    release(spark)
     # copies of a segment shrink to a count; an anchor whose segments are all alike needs no closer look
-    alike = materialize(chosen.groupBy("fp", "ctx").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min(F.struct("t1", "t2", "start")).alias("one")))
-    forms = alike.groupBy("fp").agg(F.count("*").alias("forms"), F.sum("c").alias("all"))
-    judged = alike.join(forms.filter("all > 1"), "fp")
-    full = judged.filter("c > 1").select("ctx", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
-    mixed = judged.filter("forms > 1").select("ctx", "c", "n", "one.t1", "one.t2", "one.start")
-    per_text = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "n", "ctx")).alias("x"))
-    texts = _keyed(docs, text_col).join(per_text, ["t1", "t2"]).select("text", F.col("x.start").alias("starts"), F.col("x.n").alias("ns"), F.col("x.ctx").alias("ctxs"))
-    windows = materialize(_windows_of(texts, window).distinct().join(mixed.select("ctx", "c"), "ctx"))
+    alike = Materialized(chosen.read().groupBy("fp", "ctx").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min(F.struct("t1", "t2", "start")).alias("one")))
+    forms = alike.read().groupBy("fp").agg(F.count("*").alias("forms"), F.sum("c").alias("all"))
+    judged = Materialized(alike.read().join(forms.filter("all > 1"), "fp"))
+    alike.drop()
     release(spark)
-    twice = windows.groupBy("w1", "w2").agg(F.sum("c").alias("c")).filter("c > 1").select("w1", "w2")
-    twice = materialize(twice)
-    part = windows.join(twice, ["w1", "w2"]).groupBy("ctx").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    full = judged.read().filter("c > 1").select("ctx", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
+    mixed = judged.read().filter("forms > 1").select("ctx", "c", "n", "one.t1", "one.t2", "one.start")
+    per_text = materialize(mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "n", "ctx")).alias("x")))
+    # a text that several rows have is looked at once
+    texts = _keyed(docs, text_col).join(per_text.hint("merge"), ["t1", "t2"]).groupBy("t1", "t2").agg(F.first("text").alias("text"), F.first("x").alias("x")).select("text", F.col("x.start").alias("starts"), F.col("x.n").alias("ns"), F.col("x.ctx").alias("ctxs"))
+    windows = Materialized(_windows_of(texts, window).distinct().join(mixed.select("ctx", "c"), "ctx"))
+    release(spark)
+    twice = materialize(windows.read().groupBy("w1", "w2").agg(F.sum("c").alias("c")).filter("c > 1").select("w1", "w2"))
+    part = windows.read().join(twice, ["w1", "w2"]).groupBy("ctx").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     masks = materialize(full.unionByName(part).groupBy("ctx").agg(F.bit_or("mask").alias("mask")))
-    marked = chosen.select("ctx", "t1", "t2", "start").distinct().join(masks, "ctx")
-    return marked.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    windows.drop()
+    judged.drop()
+    release(spark)
+    marked = chosen.read().select("ctx", "t1", "t2", "start").distinct().join(masks, "ctx")
+    found = materialize(marked.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
+    chosen.drop()
+    release(spark)
+    return found
 
 
 def _with_marks(docs: DataFrame, marks: DataFrame, text_col: str) -> DataFrame:
-    """The rows with the lists _starts and _masks of their texts."""
+    """The rows, and behind their columns the lists of starts and masks of their texts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.crc32(text)})
-    found = keyed.join(marks.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "marks"), ["_t1", "_t2"], "left")
-    return found.select(*docs.columns, F.coalesce("marks.start", F.array().cast("array<int>")).alias("_starts"), F.coalesce("marks.mask", F.array().cast("array<bigint>")).alias("_masks"))
+    t, c, found, starts, masks = free_names(docs, "text", "sum", "marks", "starts", "masks")
+    keyed = docs.withColumns({t: F.xxhash64(text), c: F.crc32(text)})
+    met = keyed.join(marks.select(F.col("t1").alias(t), F.col("t2").alias(c), F.col("marks").alias(found)), [t, c], "left")
+    lists = [F.coalesce(F.col(found)["start"], F.array().cast("array<int>")).alias(starts), F.coalesce(F.col(found)["mask"], F.array().cast("array<bigint>")).alias(masks)]
+    return met.select(*[F.col(f"`{x}`") for x in docs.columns], *lists)
 
 
 def _strip(column: pa.Array, starts: pa.Array, masks: pa.Array, window: int, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
@@ -228,7 +240,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     Null, empty and short texts keep all words.  Repeated rows are documents of their own, so equal texts with a
     window remove each other.  Null ids are rows like others; other columns are ignored.
     """
-    marks = materialize(repeated_marks(docs, window, gram, batches, text_col))
+    marks = repeated_marks(docs, window, gram, batches, text_col)
     bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bits = window - gram + 1
 
@@ -247,9 +259,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     """The rows, with all their columns, without their repeated words.
 
     A text that loses words becomes its kept words joined by one space, and a column of lengths follows it; other
-    texts stay as they are.  Rows that lose all their words go.
+    texts stay as they are.  Rows that lose all their words go; null, empty and short texts stay.  Repeated rows are
+    documents of their own.  Columns may have any names; an empty table gives an empty one.
     """
-    marks = materialize(repeated_marks(docs, window, gram, batches, text_col))
+    marks = repeated_marks(docs, window, gram, batches, text_col)
     at, n, bits = docs.columns.index(text_col), len(docs.columns), window - gram + 1
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 
