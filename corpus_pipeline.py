@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: four-word shingles, Jaccard of 0.85 or more."""
-    return keep_one_of_each(docs)
+    """One document of each group of near duplicates: five-word shingles, Jaccard of 0.8 or more."""
+    return keep_one_of_each(docs, 5, 80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
