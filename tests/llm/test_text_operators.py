@@ -132,6 +132,30 @@ def test_network_sees_the_whole_text():
         assert abs((up - down) / (2 * eps) - g[k][at]) < 2e-3
 
 
+def plain_score(net, text):
+    """The network byte by byte: every chunk of 48 bytes, every filter, the largest of each."""
+    n = max(-(-len(text) // 16), 1) + 2
+    data = text + bytes(16 * n - len(text))
+    same = lambda i, lag: i > lag and data[i] == data[i - lag] and data[i - 1] == data[i - 1 - lag] and min(data[i], data[i - 1]) > 32
+    again = [float(any(same(i, lag) for lag in range(3, 13))) for i in range(len(data))]
+    best = np.full(32, -np.inf)
+    for place in range(n - 2):
+        total = np.zeros(32)
+        for j in range(3):
+            cells = [[*net.w["embed"][data[i]], again[i]] for i in range(16 * (place + j), 16 * (place + j + 1))]
+            total += np.array(cells).ravel() @ net.w["conv"][j]
+        best = np.maximum(best, total)
+    return 1 / (1 + np.exp(-(np.tanh(best + net.w["bias"]) @ net.w["out"] + net.w["last"][0])))
+
+
+def test_network_against_a_plain_scorer():
+    net = quality_cnn.Network(3)
+    for text in (b"", b"a", b"the the the road", prose(5, 40).encode(), ("é ü " * 30).encode()):
+        data = np.frombuffer(text, np.uint8)
+        assert np.allclose(net.score(data, np.array([0, len(text)])), plain_score(net, text), atol=1e-5)
+        assert np.allclose(net.score(data, np.array([0, len(text)]), step=32), plain_score(net, text), atol=1e-5)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")

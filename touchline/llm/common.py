@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: One word, as a Java/DuckDB/Python regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step holds (a longer document is a step of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _kept: list[tuple[SparkSession, str]] = []
 
@@ -85,7 +85,7 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.2)
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:

@@ -20,8 +20,6 @@ from touchline.llm.common import materialize, text_chunks
 from touchline.llm.tokens import encoder, vocabulary_path
 
 WINDOW, END_ID = 4096, 2
-#: Documents that are encoded at once.
-ROWS = 256
 
 
 def encode_partitions(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,6 +31,8 @@ def encode_partitions(docs: DataFrame, vocabulary: str, end_id: int, id_col: str
         from pyspark import TaskContext
 
         part, before, encode = TaskContext.get().partitionId(), 0, encoder(path).encode
+        if max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) > 1 << 16:
+            raise ValueError("packing keeps ids in two bytes: the vocabulary has more than 65,536")
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for a, b, _, _ in text_chunks(batch.column(1)):

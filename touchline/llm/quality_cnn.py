@@ -26,6 +26,8 @@ BLOCK, SPAN, DIM, FILTERS = 16, 3, 6, 32
 #: Distances at which a byte is compared with an earlier one.
 LAGS = tuple(range(3, 13))
 EPOCHS, BATCH, RATE = 14, 32, 0.01
+#: Bytes of text that are scored at once.
+STEP = 1 << 18
 
 
 def in_fold(doc_id: Column) -> Column:
@@ -83,9 +85,18 @@ class Network:
         a = np.concatenate([a, np.full((SPAN - 1, FILTERS), -np.inf, np.float32)])
         return np.maximum.reduceat(a, bounds[:-1] if bounds[-1] >= len(a) else bounds, axis=0)[::2], x, a
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def score(self, data: np.ndarray, offsets: np.ndarray, step: int = STEP) -> np.ndarray:
+        """Probabilities of texts; a single text longer than ``step`` bytes is pooled stretch by stretch."""
         padded, again, first = blocks(data, offsets)
-        top, _, _ = self.pooled(padded, again, first)
+        if len(offsets) == 2 and len(padded) > step:
+            places = int(first[-1]) - (SPAN - 1)
+            top = np.full((1, FILTERS), -np.inf, np.float32)
+            for a in range(0, places, step // BLOCK):
+                b = (min(a + step // BLOCK, places) + SPAN - 1) * BLOCK
+                stretch = self.activations(self.inputs(padded[a * BLOCK : b], again[a * BLOCK : b]))
+                top = np.maximum(top, stretch.max(axis=0))
+        else:
+            top, _, _ = self.pooled(padded, again, first)
         return _sigmoid(np.tanh(top + self.w["bias"]) @ self.w["out"] + self.w["last"][0])
 
     def gradients(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
@@ -158,7 +169,7 @@ def score_quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [net.score(data, offsets) for _, _, data, offsets in text_chunks(batch.column(1), 1 << 18)]
+            scores = [net.score(data, offsets) for _, _, data, offsets in text_chunks(batch.column(1), STEP)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores or [np.zeros(0)]).astype(np.float64))], ["doc_id", "score"])
 
     bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -166,12 +177,16 @@ def score_quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_co
 
 
 def keep_quality(docs: DataFrame, net: Network, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose score is at least ``least``."""
-    at = docs.columns.index(text_col)
+    """The rows, with all their columns, whose score is at least ``least``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [net.score(data, offsets) for _, _, data, offsets in text_chunks(batch.column(at), 1 << 18)]
-            yield batch.filter(pa.array(np.concatenate(scores or [np.zeros(0)]) >= least))
+    Only texts go to Python and only scores come back.  Null and empty texts get the score of a blank; repeated rows
+    and rows with equal or null ids are judged each; columns may have any names; an empty table gives an empty one.
+    """
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            scores = [net.score(data, offsets) for _, _, data, offsets in text_chunks(column, STEP)]
+            yield pa.array(np.concatenate(scores or [np.zeros(0)]).astype(np.float64))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(score(F.col(text_col).cast("string")) >= least)

@@ -26,6 +26,8 @@ END_ID = 2
 #: Rounds of replacement, pairs replaced in a round, and the occurrences that a pair needs.
 ROUNDS, PAIRS, LEAST = 4, 512, 24
 _SLOTS = 1 << 17
+#: Bytes of text in a block.
+BLOCK_BYTES = 2 << 20
 #: shard and block place; before: ids of the shard's earlier blocks; n_ids; per document its id, ids and symbols;
 #: first: the first nonterminal; rules: uint32 pairs; lengths: uint32; symbols: uint16, or uint32 if wide.
 SCHEMA = "shard int, block int, before long, n_ids long, doc_ids array<long>, doc_tokens array<int>, doc_symbols array<int>, first int, rules binary, lengths binary, wide boolean, symbols binary"
@@ -119,7 +121,7 @@ def write_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
         shard, block, before, coder = TaskContext.get().partitionId(), 0, 0, encoder(path)
         first, end = max(coder.tokenizer.get_vocab_size(), end_id + 1), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a, b, _, _ in text_chunks(batch.column(1)):
+            for a, b, _, _ in text_chunks(batch.column(1), BLOCK_BYTES):
                 blobs = [x + end for x in coder.encode(batch.column(1).slice(a, b - a).to_pylist())]
                 counts = np.array([len(x) // 4 for x in blobs], np.int64)
                 ids = np.frombuffer(b"".join(blobs), "<u4")
