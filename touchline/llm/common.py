@@ -6,79 +6,21 @@ Arrow string column, a few megabytes at a time, so memory does not follow the le
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
 import time
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.durable import Materialized, drop_path, materialize, shared_dir  # noqa: F401
+
 #: One word, as a Java/DuckDB/Python regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step holds (a longer document is a step of its own).
 CHUNK_BYTES = 1 << 20
 
-_kept: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset and the master is local, a temporary folder is set; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if found:
-        return found
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="touchline-")
-    sc.setCheckpointDir(made)
-    return sc.getCheckpointDir() or made
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a materialised table."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _drop_all() -> None:
-    while _kept:
-        spark, path = _kept.pop()
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone; the folder's owner cleans up then
-            return
-
-
-atexit.register(_drop_all)
-
-
-class Materialized:
-    """A table written once to the shared folder: stable under lost executors, and cut off from its lineage."""
-
-    def __init__(self, df: DataFrame, codec: str = "zstd") -> None:
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark).rstrip('/')}/touchline-{uuid.uuid4().hex}"
-        df.write.option("compression", codec).parquet(self.path)
-        _kept.append((self.spark, self.path))
-        self.schema = df.schema
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        drop_path(self.spark, self.path)
-        if (self.spark, self.path) in _kept:
-            _kept.remove((self.spark, self.path))
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: they go when the driver collects its garbage, which a
     driver with free memory may not do for long.  What the first round lets go of may hold more, hence the second."""
@@ -88,9 +30,19 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    return Materialized(df, codec).read()
+_owner: list[str] = [""]
+#: What lets go of a worker's caches.
+caches: list[Callable[[], None]] = []
+
+
+def claim_worker(name: str) -> None:
+    """Python workers live on from one operator to the next: the first task of another one drops what the former cached."""
+    if _owner[0] != name:
+        _owner[0] = name
+        for forget in caches:
+            forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
@@ -120,6 +72,7 @@ _BYTE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+caches.append(_powers.clear)
 
 
 def _power(base: int, n: int) -> np.ndarray:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import Materialized, Words, free_names, materialize, mix, ragged, release, shingles, text_chunks
+from touchline.llm.common import Materialized, Words, claim_worker, free_names, materialize, mix, ragged, release, shingles, text_chunks
 from touchline.llm.components import connected_components
 
 K, SHARE = 4, 85
@@ -79,6 +79,7 @@ def _named(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, t1, n, cls (null for empty sets) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("ngrams")
         for batch in batches:
             for a, b, sets in _sets(batch.column(2), k):
                 n = pa.array(np.array([len(u) for u in sets], np.int64))
@@ -91,6 +92,7 @@ def _heads(docs: DataFrame, k: int, share: int) -> DataFrame:
     """cls, head (the first tokens under the first order) of each row; texts are read again, so no token is stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("ngrams")
         for batch in batches:
             for _, _, sets in _sets(batch.column(0), k):
                 heads = _lists([u[: FACTOR * slack(len(u), share) + 1] for u in sets])
@@ -103,6 +105,7 @@ def _whole_sets(texts: DataFrame, k: int, share: int) -> DataFrame:
     """cls, n, tokens (in the first order), third (prefix under the third order) of chosen texts (cls, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("ngrams")
         for batch in batches:
             for a, b, sets in _sets(batch.column(1), k):
                 third = [u[np.argsort(mix(u ^ _ORDER3))][: slack(len(u), share) + 1] for u in sets]

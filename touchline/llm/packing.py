@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import materialize, text_chunks
+from touchline.llm.common import claim_worker, materialize, text_chunks
 from touchline.llm.tokens import encoder, vocabulary_path
 
 WINDOW, END_ID = 4096, 2
@@ -30,6 +30,7 @@ def encode_partitions(docs: DataFrame, vocabulary: str, end_id: int, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim_worker("tokens")
         part, before, encode = TaskContext.get().partitionId(), 0, encoder(path).encode
         if max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) > 1 << 16:
             raise ValueError("packing keeps ids in two bytes: the vocabulary has more than 65,536")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import text_chunks
+from touchline.llm.common import claim_worker, text_chunks
 
 #: Bound of the training sample: rows, and bytes of a row (longer rows are not drawn; they are scored like all).
 SAMPLE, SAMPLE_BYTES = 3000, 40_000
@@ -168,6 +168,7 @@ def score_quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_co
     like others; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("quality")
         for batch in batches:
             scores = [net.score(data, offsets) for _, _, data, offsets in text_chunks(batch.column(1), STEP)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores or [np.zeros(0)]).astype(np.float64))], ["doc_id", "score"])
@@ -185,6 +186,7 @@ def keep_quality(docs: DataFrame, net: Network, least: float = 0.3, text_col: st
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim_worker("quality")
         for column in texts:
             scores = [net.score(data, offsets) for _, _, data, offsets in text_chunks(column, STEP)]
             yield pa.array(np.concatenate(scores or [np.zeros(0)]).astype(np.float64))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import Materialized, Words, _window_sums, drop_path, free_names, materialize, mix, release, shared_dir, text_chunks
+from touchline.llm.common import Materialized, Words, _window_sums, claim_worker, drop_path, free_names, materialize, mix, release, shared_dir, text_chunks
 
 WINDOW, GRAM = 35, 8
 #: Batches in which a whole table is fed to a new index.
@@ -128,6 +128,7 @@ def segments_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_co
     """fp, ctx, t1, t2, start, n of each segment of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("windows")
         for batch in batches:
             for a, b, data, offsets in text_chunks(batch.column(0)):
                 doc, start, n, fp, ctx, _, _ = _segments(Words(data, offsets), window, gram)
@@ -144,6 +145,7 @@ def _windows_of(rows: DataFrame, window: int) -> DataFrame:
     """ctx, i, w1, w2: the windows of chosen segments.  rows: text, starts, ns, ctxs (lists)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("windows")
         for batch in batches:
             for a, b, data, offsets in text_chunks(batch.column(0)):
                 words = Words(data, offsets)
@@ -245,6 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     bits = window - gram + 1
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("windows")
         for batch in rows:
             for a, b, n_words, n_gone, kept in _strip(batch.column(1), batch.column(2), batch.column(3), window, bits):
                 yield pa.RecordBatch.from_arrays(
@@ -267,6 +270,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("windows")
         for batch in rows:
             for a, b, n_words, n_gone, kept in _strip(batch.column(at), batch.column(n), batch.column(n + 1), window, bits):
                 columns = [batch.column(i).slice(a, b - a) for i in range(n)]

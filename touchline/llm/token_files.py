@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import Materialized, text_chunks
+from touchline.llm.common import Materialized, claim_worker, text_chunks
 from touchline.llm.tokens import encoder, vocabulary_path
 
 END_ID = 2
@@ -118,6 +118,7 @@ def write_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim_worker("tokens")
         shard, block, before, coder = TaskContext.get().partitionId(), 0, 0, encoder(path)
         first, end = max(coder.tokenizer.get_vocab_size(), end_id + 1), np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from touchline.llm.common import caches
+
 #: Chunks that a Python worker remembers (each in two generations).
 CACHE = 400_000
 
@@ -155,3 +157,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and vocabulary."""
     return Encoder(path)
+
+
+caches.append(encoder.cache_clear)
