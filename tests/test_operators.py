@@ -2,16 +2,21 @@
 
 import datetime as dt
 import json
+import math
 import zipfile
 
 from pyspark.sql import functions as F
 
+from touchline.durable import Materialized
 from touchline.functions import prob as P
 from touchline.functions import text as X
 from touchline.operators import graph as G
+from touchline.operators import markets as K
 from touchline.operators import matches as M
 from touchline.operators import merge as U
 from touchline.operators import temporal as T
+from touchline.queries import quality
+from touchline.queries import temporal as temporal_queries
 from touchline.sources import files
 from touchline.streaming import odds
 
@@ -90,7 +95,50 @@ def test_triangles_and_ratings(spark):
     assert [tuple(r) for r in G.triangles(e).collect()] == [("L", "a", "b", "c")]
     assert abs(G.pagerank(e, 5).agg(F.sum("rank")).first()[0] - 1) < 1e-9
     rated = G.replay_ratings(frame(spark, [(0, "a", "b", 3, 0), (1, "a", "b", 0, 0)])).orderBy("ok").collect()
-    assert rated[0].home_rating == 0 and rated[1].home_rating > 0 > rated[1].away_rating
+    # by hand: error 3, step 0.105; then error 0 - (0.105 + 0.105) = -0.21, step -0.00735
+    assert [(round(r.home_rating, 12), round(r.away_rating, 12)) for r in rated] == [(0, 0), (0.105, -0.105)]
+    again = G.replay_ratings(frame(spark, [(0, "a", "b", 3, 0), (1, "a", "b", 0, 0), (2, "b", "a", 0, 0)])).orderBy("ok").collect()[2]
+    assert abs(again.home_rating - -0.7 * (0.105 - 0.00735)) < 1e-12 and abs(again.away_rating - 0.7 * (0.105 - 0.00735)) < 1e-12
+
+
+def test_labels_fall_back_to_means_of_counts(spark):
+    rows = frame(spark, [(0, "a", "b", 2, 0), (1, "b", "a", 1, 3), (2, "a", "b", 0, 0), (3, "c", "d", 4, 1)])
+    rows = rows.withColumn("hc", F.when(F.col("ok") < 2, F.col("hc"))).withColumn("hy", F.when(~F.col("ok").isin(0, 3), F.col("hy")))
+    got = {r.ok: r for r in M.training_labels(rows).collect()}
+    # a: 5 corners at home and 4 away, b: 4 and 5
+    assert [(got[i].y_corners, got[i].y_cards) for i in range(4)] == [(9.0, -1.0), (9.0, 3.0), (9.0, 3.0), (-1.0, -1.0)]
+    assert [(got[i].y_1x2, got[i].y_btts, got[i].y_o15, got[i].y_o25, got[i].y_o35) for i in range(4)] == [(0, 0, 1, 0, 0), (2, 1, 1, 1, 1), (1, 0, 0, 0, 0), (0, 1, 1, 1, 1)]
+
+
+def test_drift_and_closing_values(spark):
+    drift, status, signal = P.market_drift([F.lit(x) for x in (2.0, 3.2, 3.5)], [F.lit(x) for x in (1.9, 3.3, 3.8)])
+    hard = P.market_drift([F.lit(x) for x in (2.0, 4.0, 4.0)], [F.lit(x) for x in (4.0, 4.0, 2.0)])
+    r = spark.range(1).select(drift.alias("d"), status.alias("s"), signal.alias("f"), hard[0].alias("hd"), hard[1].alias("hs"), hard[2].alias("hf"), P.line_delta(F.lit(2.0), F.lit(4.0)).alias("l"), P.closing_value(F.lit(0.6), F.lit(2.0)).alias("v")).first()
+    assert abs(r.d - (1 / 1.9 - 0.5 + 1 / 3.2 - 1 / 3.3 + 1 / 3.5 - 1 / 3.8) / 3) < 1e-12 and (r.s, r.f) == ("Stable", "Follow")
+    assert (round(r.hd, 9), r.hs, r.hf) == (round(0.5 / 3, 9), "Volatile (Smart Money Move)", "Follow")
+    assert r.l == 0.25 and abs(r.v - 0.1) < 1e-12
+
+
+def test_a_miss_always_has_a_tag(spark):
+    cols = "market string, hit boolean, hg int, ag int, hc int, ac int, hy int, ay int, conf double, edge double, trust double, exp_corners double, exp_cards double"
+    rows = [("Under 2.5", False, None, None, 5, 5, 2, 2, 0.9, 0.1, 10.0, 10.0, 4.0), ("Home Win", False, 0, 1, 9, 5, 4, 3, 0.9, 0.1, 10.0, 10.0, 4.0), ("Home Win", False, 1, 1, None, 5, 0, 0, 0.5, 0.0, 80.0, 10.0, 4.0), ("Home Win", True, 1, 0, 1, 1, 1, 1, 0.1, 0.0, 90.0, 1.0, 1.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, cols).select(K.reason_tags()).collect()]
+    assert got == [["unclassified_miss"], ["away_upset_or_home_bias", "corners_underestimation", "card_spike_or_referee_distortion"], ["missed_draw", "low_source_confidence", "missing_cards_corners", "no_positive_edge", "high_confidence_miss"], ["hit"]]
+
+
+def test_head_to_head_form_and_weights(spark, tmp_path):
+    """Three queries by hand: wins of the team now at home, points of 15, unknown confidence of 0.9."""
+    m = frame(spark, [(0, "a", "b", 2, 0), (1, "b", "a", 0, 1), (2, "a", "b", 0, 0)]).withColumn("conf", F.when(F.col("ok") > 0, F.col("conf")))
+    m = m.withColumn("odds_d", F.lit(3.0))
+    key = (spark.sparkContext.applicationId, str(tmp_path))
+    quality._written[key] = Materialized(m)
+    h = {r.match_date: r for r in temporal_queries.w09(spark, str(tmp_path)).collect()}
+    assert [(h[day(i)].home_rate, h[day(i)].away_rate, h[day(i)].met) for i in range(3)] == [(0.333333, 0.333333, 0), (0.0, 1.0, 1), (1.0, 0.0, 2)]
+    form = {(r.ok, r.team): r.form_last5 for r in temporal_queries.w07(spark, str(tmp_path)).collect()}
+    assert (form[0, "a"], form[1, "a"], form[2, "a"], form[2, "b"]) == (0.5, 0.2, 0.4, 0.0)
+    weight = {r.match_date: r.weight for r in temporal_queries.w17(spark, str(tmp_path)).collect()}
+    assert weight[day(0)] == round(0.9 * math.exp(-2 / 730), 9) and weight[day(2)] == 0.5
+    quality._written.pop(key).drop()
 
 
 def test_pagerank_goes_on_until_ranks_stand_still(spark):

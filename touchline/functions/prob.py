@@ -116,3 +116,28 @@ def stake(edge: Column, trust: Column, tier: Column) -> Column:
 def decay(days: Column, half_life: float) -> Column:
     """0.5 ** (days / half_life); future dates count as today, unknown ones as 1."""
     return F.coalesce(F.pow(F.lit(0.5), F.greatest(days.cast("double"), F.lit(0.0)) / half_life), F.lit(1.0))
+
+
+def price(odd: Column) -> Column:
+    """Implied probability of one decimal price, in [0.01, 0.99]."""
+    return clip(1 / odd, 0.01, 0.99)
+
+
+def line_delta(opening: Column, current: Column) -> Column:
+    """Implied probability at the opening less the current one."""
+    return price(opening) - price(current)
+
+
+def closing_value(model: Column, current: Column) -> Column:
+    """The model's probability less the current implied one; positive is an edge."""
+    return model - price(current)
+
+
+def market_drift(opening: list[Column], current: list[Column]) -> tuple[Column, Column, Column]:
+    """Mean absolute move of the raw implied probabilities, its status, and whether the current favourite's move is
+    followed (above 0.01) or fading."""
+    now, moves = F.array(*[1 / c for c in current]), F.array(*[1 / c - 1 / o for o, c in zip(opening, current, strict=True)])
+    size = F.aggregate(moves, F.lit(0.0), lambda s, x: s + F.abs(x)) / len(opening)
+    status = F.when(size > 0.05, "Volatile (Smart Money Move)").when(size > 0.02, "Correcting").otherwise("Stable")
+    favourite = F.element_at(moves, F.array_position(now, F.array_max(now)).cast("int"))
+    return size, status, F.when(favourite > 0.01, "Follow").otherwise("Fading")

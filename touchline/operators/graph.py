@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.durable import materialize
 from touchline.operators.matches import TIE
 
 
@@ -44,8 +45,6 @@ def pagerank_converged(edges: DataFrame, tolerance: float = 1e-10, damping: floa
     """``pagerank`` continued until no rank moves by more than ``tolerance`` in a round; ranks are written each few rounds.
 
     A round shrinks the changes by the damping at least, so it ends on any graph."""
-    from touchline.llm.common import materialize
-
     nodes = edges.select("league", F.col("src").alias("node")).union(edges.select("league", "dst")).distinct()
     size = nodes.groupBy("league").agg(F.count("*").alias("size"))
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("league", "src"))
@@ -67,6 +66,9 @@ def pagerank_converged(edges: DataFrame, tolerance: float = 1e-10, damping: floa
 def replay_ratings(matches: DataFrame, rate: float = 0.035, carry: float = 0.7) -> DataFrame:
     """Home and away ratings of both teams before each match, updated match by match in a league's order.
 
+    The expected goal difference is the home team's home rating less the away team's away rating; both move by ``rate``
+    times the error, and their other ratings by ``carry`` of that.
+
     The fold couples two teams in every step, so a league is one sequence; it is streamed in sorted Arrow batches and
     only the ratings of its teams are held."""
 
@@ -77,9 +79,7 @@ def replay_ratings(matches: DataFrame, rate: float = 0.035, carry: float = 0.7)
             for i, (league, home, away, hg, ag) in enumerate(zip(batch.league, batch.home, batch.away, batch.hg, batch.ag, strict=True)):
                 h, a = ratings.setdefault((league, home), [0.0, 0.0]), ratings.setdefault((league, away), [0.0, 0.0])
                 before[i] = h[0], a[1]
-                expected = np.sign(h[0]) * (10 ** (abs(h[0]) / 3) - 1) - np.sign(a[1]) * (10 ** (abs(a[1]) / 3) - 1)
-                miss = (hg - ag) - expected
-                step = rate * 3 * np.log10(1 + abs(miss)) * np.sign(miss)
+                step = rate * ((hg - ag) - (h[0] - a[1]))
                 h[0], a[1] = h[0] + step, a[1] - step
                 h[1], a[0] = h[1] + carry * step, a[0] - carry * step
             yield batch.assign(home_rating=before[:, 0], away_rating=before[:, 1])

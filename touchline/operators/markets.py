@@ -32,7 +32,7 @@ def market_hit() -> Column:
     """Whether the market came in."""
     m, h, a = F.col("market"), F.col("hg"), F.col("ag")
     return (
-        F.when(m == "Over 1.5", h + a > 1).when(m == "Over 2.5", h + a > 2).when(m == "BTTS", (h > 0) & (a > 0)).when(m == "Home Win", h > a).when(m == "Away Win", h < a)
+        F.when(m == "Over 1.5", h + a > 1).when(m == "Over 2.5", h + a > 2).when(m == "Over 3.5", h + a > 3).when(m == "Draw", h == a).when(m == "BTTS", (h > 0) & (a > 0)).when(m == "Home Win", h > a).when(m == "Away Win", h < a)
         .when(m.startswith("1X"), h >= a).when(m.startswith("X2"), h <= a).otherwise(F.lit(False))
     )
 
@@ -41,12 +41,17 @@ def reason_tags() -> Column:
     """Why a prediction missed (several tags), or ``hit``."""
     hit, m = F.col("hit"), F.col("market")
     miss = lambda cond, tag: F.when(~hit & cond, tag)
+    counted = F.col("hy").isNotNull() & F.col("hc").isNotNull()
+    corners, cards = F.col("hc") + F.coalesce("ac", F.lit(0)), F.col("hy") + F.coalesce("ay", F.lit(0))
     tags = F.array(
-        F.when(hit, "hit"), miss(m.startswith("Over ") | (m == "BTTS"), "goals_market_miss"), miss(F.col("hg") == F.col("ag"), "missed_draw"), miss(F.col("hg") < F.col("ag"), "away_upset"),
+        F.when(hit, "hit"), miss(m.startswith("Over ") | (m == "BTTS"), "goals_market_miss"), miss(F.col("hg") == F.col("ag"), "missed_draw"), miss(F.col("hg") < F.col("ag"), "away_upset_or_home_bias"),
         miss(F.col("hg") > F.col("ag"), "home_win_underestimated"), miss(F.coalesce("conf", F.lit(0.0)) < 0.8, "low_source_confidence"), miss(F.col("hy").isNull() | F.col("hc").isNull(), "missing_cards_corners"),
+        miss(counted & (corners >= F.col("exp_corners") + 3), "corners_underestimation"), miss(counted & (corners <= F.col("exp_corners") - 3), "corners_overestimation"),
+        miss(counted & (cards >= F.col("exp_cards") + 2), "card_spike_or_referee_distortion"), miss(counted & (cards <= F.col("exp_cards") - 2), "cards_overestimation"),
         miss(F.col("edge") <= 0, "no_positive_edge"), miss(F.col("trust") >= 70, "high_confidence_miss"),
     )
-    return F.array_compact(tags)
+    found = F.array_compact(tags)
+    return F.when(F.size(found) == 0, F.array(F.lit("unclassified_miss"))).otherwise(found)
 
 
 def tickets(candidates: DataFrame, keys: list[str], legs: int) -> DataFrame:
@@ -92,15 +97,13 @@ def dispersion(rows: DataFrame, group: str, x: str) -> DataFrame:
     return m.withColumn("dispersion", F.when((F.col("n") >= 30) & (F.col("mu") > 0) & (F.col("va") > F.col("mu")), r)).drop("va")
 
 
-def team_means(matches: DataFrame, complete: bool = False) -> DataFrame:
-    """Goals for and against by team and venue, with the league's means where a team has no row of a venue.
-
-    Unless ``complete``, home rows need corners and away rows cards (rows that statistics can be learnt from)."""
-    home = F.struct(F.col("home").alias("team"), F.lit(True).alias("at_home"), (F.lit(complete) | F.col("hc").isNotNull()).alias("counts"))
-    away = F.struct(F.col("away").alias("team"), F.lit(False).alias("at_home"), (F.lit(complete) | F.col("hy").isNotNull()).alias("counts"))
+def team_means(matches: DataFrame) -> DataFrame:
+    """Goals for and against by team and venue, with the league's means where a team has no row of a venue."""
+    home = F.struct(F.col("home").alias("team"), F.lit(True).alias("at_home"))
+    away = F.struct(F.col("away").alias("team"), F.lit(False).alias("at_home"))
     rows = matches.select("league", "hg", "ag", F.explode(F.array(home, away)).alias("s")).select("league", "hg", "ag", "s.*")
     # one aggregation by team; the league's means follow from its home rows, a row for each team
-    at = lambda flag, x: F.avg(F.when((F.col("at_home") == flag) & F.col("counts"), F.col(x)))
+    at = lambda flag, x: F.avg(F.when(F.col("at_home") == flag, F.col(x)))
     total = lambda x: F.sum(F.when(F.col("at_home"), F.col(x)))
     teams = rows.groupBy("league", "team").agg(
         at(True, "hg").alias("hf"), at(True, "ag").alias("ha"), at(False, "ag").alias("af"), at(False, "hg").alias("aa"), total("hg").alias("sh"), total("ag").alias("sa"), F.count_if(F.col("at_home")).alias("n")

@@ -15,7 +15,8 @@ STATS = ["odds_h", "odds_a", "hs", "aws", "hc", "ac", "hy", "ay", "referee"]
 #: Total order of rows that are otherwise equal.
 TIE = ["ok", "ln", "pk", "sk"]
 #: Games of a season and relegation slots; others have DEFAULT_RULE.
-LEAGUE_RULES = [("PremierLeague", 38, 3), ("LaLiga", 38, 3), ("SerieA", 38, 3), ("Bundesliga", 34, 3), ("Ligue1", 34, 3), ("Championship", 46, 3), ("Eredivisie", 34, 3)]
+LEAGUE_RULES = [("PremierLeague", 38, 3), ("LaLiga", 38, 3), ("SerieA", 38, 3), ("Bundesliga", 34, 3), ("Ligue1", 34, 3), ("Championship", 46, 3), ("ScottishPremiership", 38, 1), ("Eredivisie", 34, 3),
+                ("LigaNOS", 34, 2), ("BelgianProLeague", 30, 2), ("SuperLig", 38, 4), ("2Bundesliga", 34, 3), ("Ligue2", 34, 3), ("LaLiga2", 42, 4), ("SerieB", 38, 4)]
 DEFAULT_RULE = (38, 3)
 
 
@@ -101,3 +102,19 @@ def table_pressure(table: DataFrame, rules: DataFrame) -> DataFrame:
         .otherwise("Normal table context")
     )
     return staged.withColumns({"must_win": must, "label": label}).drop("slots", "safe_pos", "safe_points", "drop_points", "lead_points", "season_games", "danger")
+
+
+def training_labels(matches: DataFrame) -> DataFrame:
+    """Targets of each match.  Corners and cards are final counts; where one is missing, the sum of both teams' means
+    over their last five matches with a count, and -1 where there are none."""
+    view = lambda team, flag, corners, cards: F.struct(F.col(team).alias("team"), F.lit(flag).alias("at_home"), F.col(corners).alias("corners"), F.col(cards).alias("cards"))
+    rows = matches.select("league", "match_date", *TIE, "hg", "ag", F.explode(F.array(view("home", 1, "hc", "hy"), view("away", 0, "ac", "ay"))).alias("v")).select("league", "match_date", *TIE, "hg", "ag", "v.*")
+    last = Window.partitionBy("league", "team").orderBy("match_date", *TIE, "at_home").rowsBetween(-5, -1)
+    rows = rows.withColumns({"corners5": F.avg("corners").over(last), "cards5": F.avg("cards").over(last)})
+    both = lambda x: F.when(F.count(x) == 2, F.sum(x).cast("double"))
+    label = lambda x: F.coalesce(both(x), both(f"{x}5"), F.lit(-1.0)).alias(f"y_{x}")
+    goals = F.col("hg") + F.col("ag")
+    y = F.when(F.col("hg") > F.col("ag"), 0).when(F.col("hg") == F.col("ag"), 1).otherwise(2)
+    over = [(goals > n).cast("int").alias(f"y_o{n}5") for n in (1, 2, 3)]
+    met = rows.groupBy("league", "match_date", *TIE, "hg", "ag").agg(label("corners"), label("cards"))
+    return met.select(*TIE, y.alias("y_1x2"), ((F.col("hg") > 0) & (F.col("ag") > 0)).cast("int").alias("y_btts"), *over, "y_corners", "y_cards")

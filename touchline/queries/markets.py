@@ -14,20 +14,20 @@ from touchline.registry import query
 
 ABOUT = """, q AS (SELECT *, 0.3e0 + (ok % 23) / 10e0 AS mh, 0.2e0 + (pk % 19) / 10e0 AS ma FROM canon)"""
 #: a prediction with its outcome for each canonical match
-PRED = CANON + """, pred AS (SELECT league, match_date, home, away, hg, ag, hc, hy, conf, ok, ln, pk, sk, (ok % 60 + 20) / 100e0 AS p_h, (pk % 50 + 15) / 100e0 AS p_a, (sk % 30 + 10) / 100e0 AS p_d, (ok % 45 + 40) / 100e0 AS p_o25,
+PRED = CANON + """, pred AS (SELECT league, match_date, home, away, hg, ag, hc, ac, hy, ay, conf, ok, ln, pk, sk, 6e0 + pk % 9 AS exp_corners, 2e0 + sk % 5 AS exp_cards, (ok % 60 + 20) / 100e0 AS p_h, (pk % 50 + 15) / 100e0 AS p_a, (sk % 30 + 10) / 100e0 AS p_d, (ok % 45 + 40) / 100e0 AS p_o25,
  (pk % 40 + 40) / 100e0 AS p_btts, CASE pk % 7 WHEN 0 THEN 'Surgical' WHEN 1 THEN 'Blitz' WHEN 2 THEN 'Trap' WHEN 3 THEN 'Stagnant' WHEN 4 THEN 'High Tempo' WHEN 5 THEN 'Balanced' ELSE 'Defensive' END AS profile,
  (ok % 21 - 4) / 100e0 AS edge, CAST(pk % 90 + 5 AS DOUBLE) AS trust, (sk % 9) + 0.5e0 AS volatility, (ok % 5 - 2) / 100e0 AS cld FROM canon)"""
 RULES = """CASE WHEN p_h > p_a * 1.6e0 AND p_h > 0.42e0 THEN 'Home Win' WHEN p_a > p_h * 1.8e0 AND p_a > 0.42e0 THEN 'Away Win' WHEN p_o25 >= 0.62e0 THEN 'Over 2.5' WHEN p_btts >= 0.62e0 AND p_o25 >= 0.55e0 THEN 'BTTS' WHEN profile = 'Defensive' THEN 'Under 2.5'
  WHEN p_d > 0.35e0 AND p_h >= p_a THEN '1X (Double Chance)' WHEN p_d > 0.35e0 THEN 'X2 (Double Chance)' WHEN p_h > p_a AND p_h > 0.38e0 THEN 'Home Win' WHEN p_a > p_h AND p_a > 0.38e0 THEN 'X2 (Double Chance)'
  WHEN profile = 'Surgical' THEN 'Home Win' WHEN profile = 'Blitz' THEN 'BTTS' WHEN profile = 'Trap' THEN 'X2 (Double Chance)' WHEN profile = 'Stagnant' THEN 'Under 2.5' WHEN profile = 'High Tempo' THEN 'Over 2.5' ELSE 'Over 1.5' END"""
-HIT = f"""CASE WHEN market = 'Over 1.5' THEN hg + ag > 1 WHEN market = 'Over 2.5' THEN hg + ag > 2 WHEN market = 'BTTS' THEN hg > 0 AND ag > 0 WHEN market = 'Home Win' THEN hg > ag WHEN market = 'Away Win' THEN hg < ag
- WHEN market LIKE '1X%' THEN hg >= ag WHEN market LIKE 'X2%' THEN hg <= ag ELSE FALSE END"""
+HIT = f"""CASE WHEN market = 'Over 1.5' THEN hg + ag > 1 WHEN market = 'Over 2.5' THEN hg + ag > 2 WHEN market = 'Over 3.5' THEN hg + ag > 3 WHEN market = 'BTTS' THEN hg > 0 AND ag > 0 WHEN market = 'Home Win' THEN hg > ag WHEN market = 'Away Win' THEN hg < ag
+ WHEN market LIKE '1X%' THEN hg >= ag WHEN market LIKE 'X2%' THEN hg <= ag WHEN market = 'Draw' THEN hg = ag ELSE FALSE END"""
 
 
 def pred(spark, sf_dir) -> DataFrame:
     mod = lambda c, m, a, d: (F.col(c) % m + a) / float(d)
     names = ["Surgical", "Blitz", "Trap", "Stagnant", "High Tempo", "Balanced", "Defensive"]
-    return canon(spark, sf_dir).select("league", "match_date", "home", "away", "hg", "ag", "hc", "hy", "conf", *M.TIE, mod("ok", 60, 20, 100).alias("p_h"), mod("pk", 50, 15, 100).alias("p_a"), mod("sk", 30, 10, 100).alias("p_d"),
+    return canon(spark, sf_dir).select("league", "match_date", "home", "away", "hg", "ag", "hc", "ac", "hy", "ay", "conf", *M.TIE, (6.0 + F.col("pk") % 9).alias("exp_corners"), (2.0 + F.col("sk") % 5).alias("exp_cards"), mod("ok", 60, 20, 100).alias("p_h"), mod("pk", 50, 15, 100).alias("p_a"), mod("sk", 30, 10, 100).alias("p_d"),
         mod("ok", 45, 40, 100).alias("p_o25"), mod("pk", 40, 40, 100).alias("p_btts"), F.array(*[F.lit(n) for n in names])[(F.col("pk") % 7).cast("int")].alias("profile"), mod("ok", 21, -4, 100).alias("edge"),
         (F.col("pk") % 90 + 5).cast("double").alias("trust"), ((F.col("sk") % 9) + 0.5).alias("volatility"), mod("ok", 5, -2, 100).alias("cld"))
 
@@ -81,10 +81,12 @@ def a10(spark, sf_dir):
     return hit.groupBy("league", "market").agg(F.count("*").alias("n"), r(F.avg(F.col("hit").cast("double")), "hit_rate", 6))
 
 
-@query("d11_reason_tags", PRED + f""", m AS (SELECT *, {RULES} AS market FROM pred), h AS (SELECT *, {HIT} AS hit FROM m), x AS (SELECT league, unnest(list_filter([CASE WHEN hit THEN 'hit' END,
- CASE WHEN NOT hit AND (market LIKE 'Over %' OR market = 'BTTS') THEN 'goals_market_miss' END, CASE WHEN NOT hit AND hg = ag THEN 'missed_draw' END, CASE WHEN NOT hit AND hg < ag THEN 'away_upset' END, CASE WHEN NOT hit AND hg > ag THEN 'home_win_underestimated' END,
- CASE WHEN NOT hit AND coalesce(conf, 0) < 0.8e0 THEN 'low_source_confidence' END, CASE WHEN NOT hit AND (hy IS NULL OR hc IS NULL) THEN 'missing_cards_corners' END, CASE WHEN NOT hit AND edge <= 0 THEN 'no_positive_edge' END, CASE WHEN NOT hit AND trust >= 70 THEN 'high_confidence_miss' END], lambda t: t IS NOT NULL)) AS tag FROM h)
- SELECT league, tag, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY ALL""")
+@query("d11_reason_tags", PRED + f""", m AS (SELECT *, {RULES} AS market FROM pred), h AS (SELECT *, {HIT} AS hit FROM m), x AS (SELECT league, list_filter([CASE WHEN hit THEN 'hit' END,
+ CASE WHEN NOT hit AND (market LIKE 'Over %' OR market = 'BTTS') THEN 'goals_market_miss' END, CASE WHEN NOT hit AND hg = ag THEN 'missed_draw' END, CASE WHEN NOT hit AND hg < ag THEN 'away_upset_or_home_bias' END, CASE WHEN NOT hit AND hg > ag THEN 'home_win_underestimated' END,
+ CASE WHEN NOT hit AND coalesce(conf, 0) < 0.8e0 THEN 'low_source_confidence' END, CASE WHEN NOT hit AND (hy IS NULL OR hc IS NULL) THEN 'missing_cards_corners' END,
+ CASE WHEN NOT hit AND hy IS NOT NULL AND hc + coalesce(ac, 0) >= exp_corners + 3 THEN 'corners_underestimation' WHEN NOT hit AND hy IS NOT NULL AND hc + coalesce(ac, 0) <= exp_corners - 3 THEN 'corners_overestimation' END,
+ CASE WHEN NOT hit AND hc IS NOT NULL AND hy + coalesce(ay, 0) >= exp_cards + 2 THEN 'card_spike_or_referee_distortion' WHEN NOT hit AND hc IS NOT NULL AND hy + coalesce(ay, 0) <= exp_cards - 2 THEN 'cards_overestimation' END, CASE WHEN NOT hit AND edge <= 0 THEN 'no_positive_edge' END, CASE WHEN NOT hit AND trust >= 70 THEN 'high_confidence_miss' END], lambda t: t IS NOT NULL) AS tags FROM h),
+ y AS (SELECT league, unnest(CASE WHEN len(tags) = 0 THEN ['unclassified_miss'] ELSE tags END) AS tag FROM x) SELECT league, tag, CAST(count(*) AS BIGINT) AS n FROM y GROUP BY ALL""")
 def d11(spark, sf_dir):
     hit = pred(spark, sf_dir).withColumn("market", K.market_rules()).withColumn("hit", K.market_hit())
     return hit.select("league", F.explode(K.reason_tags()).alias("tag")).groupBy("league", "tag").agg(F.count("*").alias("n"))
@@ -118,7 +120,7 @@ def a22(spark, sf_dir):
     return m.withColumn("quality", P.metric_quality(F.col("brier"), F.col("ece"))).select("grp", "n", *[r(F.col(c), c, 6) for c in ("brier", "log_loss", "ece", "quality")])
 
 
-@query("a14_team_means", CANON + """, l AS (SELECT league, avg(hg) AS lh, avg(ag) AS la FROM canon GROUP BY 1), h AS (SELECT league, home AS team, avg(hg) AS hf, avg(ag) AS ha FROM canon WHERE hc IS NOT NULL GROUP BY ALL), a AS (SELECT league, away AS team, avg(ag) AS af, avg(hg) AS aa FROM canon WHERE hy IS NOT NULL GROUP BY ALL)
+@query("a14_team_means", CANON + """, l AS (SELECT league, avg(hg) AS lh, avg(ag) AS la FROM canon GROUP BY 1), h AS (SELECT league, home AS team, avg(hg) AS hf, avg(ag) AS ha FROM canon GROUP BY ALL), a AS (SELECT league, away AS team, avg(ag) AS af, avg(hg) AS aa FROM canon GROUP BY ALL)
  SELECT coalesce(h.league, a.league) AS league, coalesce(h.team, a.team) AS team, round(coalesce(hf, lh), 6) AS home_for, round(coalesce(ha, la), 6) AS home_against, round(coalesce(af, la), 6) AS away_for, round(coalesce(aa, lh), 6) AS away_against
  FROM h FULL JOIN a ON h.league = a.league AND h.team = a.team JOIN l ON l.league = coalesce(h.league, a.league)""")
 def a14(spark, sf_dir):
@@ -138,7 +140,7 @@ def a16(spark, sf_dir):
 def m04(spark, sf_dir):
     """Expected goals from team and league means, and the over line of their sum."""
     c = canon(spark, sf_dir)
-    out = K.expected_goals(c, K.team_means(c, complete=True))
+    out = K.expected_goals(c, K.team_means(c))
     return out.select("league", *M.TIE, r(F.col("home_mu"), "home_mu", 6), r(F.col("away_mu"), "away_mu", 6), r(P.poisson_over(2.5, F.col("home_mu") + F.col("away_mu")), "over25", 6))
 
 
@@ -156,10 +158,10 @@ def a27(spark, sf_dir):
 
 
 @query("w12_odds_snapshots", ctes("odds_log") + """, s AS (SELECT match_key, arg_min(odd, ts) AS opening, arg_max(odd, ts) AS closing, count(*) AS n FROM odds_log GROUP BY match_key)
- SELECT match_key, CAST(n AS BIGINT) AS n, round(opening, 6) AS opening, round(closing, 6) AS closing, round(least(0.99e0, greatest(0.01e0, 1 / closing)) - least(0.99e0, greatest(0.01e0, 1 / opening)), 9) AS line_delta, round(opening / closing - 1, 9) AS clv FROM s""")
+ SELECT match_key, CAST(n AS BIGINT) AS n, round(opening, 6) AS opening, round(closing, 6) AS closing, round(least(0.99e0, greatest(0.01e0, 1 / opening)) - least(0.99e0, greatest(0.01e0, 1 / closing)), 9) AS line_delta, round((match_key % 60 + 20) / 100e0 - least(0.99e0, greatest(0.01e0, 1 / closing)), 9) AS clv FROM s""")
 def w12(spark, sf_dir):
     s = frame(spark, sf_dir, "odds_log").groupBy("match_key").agg(F.min_by("odd", "ts").alias("o"), F.max_by("odd", "ts").alias("c"), F.count("*").alias("n"))
-    return s.select("match_key", "n", r(F.col("o"), "opening", 6), r(F.col("c"), "closing", 6), r(P.clip(1 / F.col("c"), 0.01, 0.99) - P.clip(1 / F.col("o"), 0.01, 0.99), "line_delta"), r(F.col("o") / F.col("c") - 1, "clv"))
+    return s.select("match_key", "n", r(F.col("o"), "opening", 6), r(F.col("c"), "closing", 6), r(P.line_delta(F.col("o"), F.col("c")), "line_delta"), r(P.closing_value((F.col("match_key") % 60 + 20) / 100.0, F.col("c")), "clv"))
 
 
 @query("a12_clv_summary", PRED + f""", m AS (SELECT *, {RULES} AS market FROM pred), h AS (SELECT *, {HIT} AS hit FROM m) SELECT market, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN hit THEN 1e0 ELSE 0e0 END), 6) AS hit_rate,

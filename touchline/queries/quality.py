@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.bindings import ctes, frame
+from touchline.durable import Materialized
 from touchline.functions.prob import implied, outcome
 from touchline.operators import matches as M
 from touchline.registry import query
@@ -28,13 +29,20 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "contests")
 
 
+_written: dict[tuple[str, str], Materialized] = {}
+
+
 def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.canonical(contests(spark, sf_dir))
+    """Canonical rows, written to the shared folder once for each application and folder of tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _written:
+        _written[key] = Materialized(M.canonical(contests(spark, sf_dir)))
+    return _written[key].read()
 
 
 @query("w01_canonical", CANON + " SELECT league, match_date, home, away, hg, ag, conf, source, ok, ln, pk, sk FROM canon")
 def w01(spark, sf_dir):
-    return canon(spark, sf_dir).select("league", "match_date", "home", "away", "hg", "ag", "conf", "source", *M.TIE)
+    return M.canonical(contests(spark, sf_dir)).select("league", "match_date", "home", "away", "hg", "ag", "conf", "source", *M.TIE)
 
 
 @query("a03_duplicate_groups", ctes("contests") + """ SELECT league, match_date, lower(trim(home)) AS home_key, lower(trim(away)) AS away_key, CAST(count(*) AS BIGINT) AS duplicate_count,
@@ -44,11 +52,11 @@ def a03(spark, sf_dir):
     return contests(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("duplicate_count"), F.concat_ws(",", F.array_sort(F.collect_set("source"))).alias("sources")).filter("duplicate_count > 1")
 
 
-@query("a02_health", ctes("contests") + """, g AS (SELECT league, match_date, home, away, count(*) AS n FROM contests GROUP BY ALL)
+@query("a02_health", ctes("contests") + """, g AS (SELECT league, match_date, lower(trim(home)) AS h, lower(trim(away)) AS a, count(*) AS n FROM contests GROUP BY ALL)
  SELECT league, CAST(sum(n) AS BIGINT) AS raw_rows, CAST(count(*) AS BIGINT) AS canonical_rows, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicate_groups,
  CAST(sum(n) - count(*) AS BIGINT) AS extra_rows, CAST(max(n) AS BIGINT) AS largest_group FROM g GROUP BY league""")
 def a02(spark, sf_dir):
-    groups = contests(spark, sf_dir).groupBy("league", "match_date", "home", "away").agg(F.count("*").alias("n"))
+    groups = contests(spark, sf_dir).groupBy("league", "match_date", F.lower(F.trim("home")).alias("h"), F.lower(F.trim("away")).alias("a")).agg(F.count("*").alias("n"))
     return groups.groupBy("league").agg(F.sum("n").alias("raw_rows"), F.count("*").alias("canonical_rows"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), (F.sum("n") - F.count("*")).alias("extra_rows"), F.max("n").alias("largest_group"))
 
 

@@ -13,15 +13,14 @@ from touchline.queries.quality import CANON, SIDES, canon
 from touchline.registry import query
 
 
-@query("f40_market_drift", PRED + """, m AS (SELECT league, ok, ln, pk, sk, [p_h, p_d, p_a] AS b, [p_h + cld, p_d - cld / 2, p_a - cld / 2] AS a FROM pred) SELECT ok, ln, pk, sk, round((abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3])) / 3, 9) AS drift,
- CASE WHEN list_position(a, list_max(a)) = list_position(b, list_max(b)) THEN 'follow' ELSE 'fade' END AS signal FROM m""")
+@query("f40_market_drift", CANON + """, m AS (SELECT ok, ln, pk, sk, [1 / odds_h, 1 / odds_d, 1 / odds_a] AS b, [1 / (odds_h * (1 + (ok % 7 - 3) / 20e0)), 1 / odds_d, 1 / (odds_a * (1 + (pk % 7 - 3) / 20e0))] AS a FROM canon WHERE odds_h IS NOT NULL AND odds_d IS NOT NULL AND odds_a IS NOT NULL),
+ d AS (SELECT *, (abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3])) / 3 AS drift, list_position(a, list_max(a)) AS f FROM m)
+ SELECT ok, ln, pk, sk, round(drift, 9) AS drift, CASE WHEN drift > 0.05e0 THEN 'Volatile (Smart Money Move)' WHEN drift > 0.02e0 THEN 'Correcting' ELSE 'Stable' END AS status, CASE WHEN a[f] - b[f] > 0.01e0 THEN 'Follow' ELSE 'Fading' END AS signal FROM d""")
 def f40(spark, sf_dir):
-    """Mean absolute move of the three probabilities, and whether the favourite stays."""
-    before = F.array("p_h", "p_d", "p_a")
-    after = F.array(F.col("p_h") + F.col("cld"), F.col("p_d") - F.col("cld") / 2, F.col("p_a") - F.col("cld") / 2)
-    top = lambda x: F.array_position(x, F.array_max(x))
-    move = F.aggregate(F.zip_with(after, before, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / 3
-    return pred(spark, sf_dir).select(*M.TIE, r(move, "drift"), F.when(top(after) == top(before), "follow").otherwise("fade").alias("signal"))
+    """Opening odds against current ones (the opening ones moved by up to 15 %), where all three are known."""
+    moved = lambda odd, key: F.col(odd) * (1 + (F.col(key) % 7 - 3) / 20.0)
+    drift, status, signal = P.market_drift([F.col("odds_h"), F.col("odds_d"), F.col("odds_a")], [moved("odds_h", "ok"), F.col("odds_d"), moved("odds_a", "pk")])
+    return canon(spark, sf_dir).dropna(subset=["odds_h", "odds_d", "odds_a"]).select(*M.TIE, r(drift, "drift"), status.alias("status"), signal.alias("signal"))
 
 
 @query("f42_blend", PRED + """, t AS (SELECT ok, ln, pk, sk, 0.8e0 * p_h + 0.2e0 * p_o25 AS h, 0.8e0 * p_d + 0.2e0 * 0.25e0 AS d, 0.8e0 * p_a + 0.2e0 * p_btts AS a FROM pred),
@@ -65,16 +64,14 @@ def d12(spark, sf_dir):
     return canon(spark, sf_dir).select("league", F.explode(tags).alias("tag")).groupBy("league", "tag").agg(F.count("*").alias("n"))
 
 
-@query("d18_labels", SIDES + """, f AS (SELECT ok, ln, pk, sk, avg(gf) OVER (PARTITION BY league, team ORDER BY match_date, ok, ln, pk, sk, at_home ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS form, at_home FROM sides)
- SELECT c.ok, c.ln, c.pk, c.sk, CASE WHEN hg > ag THEN 0 WHEN hg = ag THEN 1 ELSE 2 END AS y_1x2, CAST(hg > 0 AND ag > 0 AS INT) AS y_btts, CAST(hg + ag > 2 AS INT) AS y_o25, round(coalesce(CAST(hc + ac AS DOUBLE), f.form, -1e0), 6) AS y_corners FROM canon c JOIN f ON f.ok = c.ok AND f.ln = c.ln AND f.pk = c.pk AND f.sk = c.sk AND f.at_home = 1""")
+@query("d18_labels", CANON + """, v AS (SELECT league, match_date, home AS team, 1 AS at_home, hc AS co, hy AS ca, ok, ln, pk, sk FROM canon UNION ALL SELECT league, match_date, away, 0, ac, ay, ok, ln, pk, sk FROM canon),
+ f AS (SELECT match_date, ok, ln, pk, sk, at_home, avg(co) OVER w AS co5, avg(ca) OVER w AS ca5 FROM v WINDOW w AS (PARTITION BY league, team ORDER BY match_date, ok, ln, pk, sk, at_home ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+ SELECT c.ok, c.ln, c.pk, c.sk, CASE WHEN hg > ag THEN 0 WHEN hg = ag THEN 1 ELSE 2 END AS y_1x2, CAST(hg > 0 AND ag > 0 AS INT) AS y_btts, CAST(hg + ag > 1 AS INT) AS y_o15, CAST(hg + ag > 2 AS INT) AS y_o25, CAST(hg + ag > 3 AS INT) AS y_o35,
+ round(coalesce(CAST(hc + ac AS DOUBLE), h.co5 + a.co5, -1e0), 6) AS y_corners, round(coalesce(CAST(hy + ay AS DOUBLE), h.ca5 + a.ca5, -1e0), 6) AS y_cards FROM canon c
+ JOIN f h ON h.ok = c.ok AND h.ln = c.ln AND h.pk = c.pk AND h.sk = c.sk AND h.match_date = c.match_date AND h.at_home = 1 JOIN f a ON a.ok = c.ok AND a.ln = c.ln AND a.pk = c.pk AND a.sk = c.sk AND a.match_date = c.match_date AND a.at_home = 0""")
 def d18(spark, sf_dir):
-    """Training labels; a missing count falls back to the home team's form, then to the mask -1."""
-    from touchline.operators.temporal import by_team
-
-    c = canon(spark, sf_dir)
-    form = M.sides(c).withColumn("form", F.avg("gf").over(by_team().rowsBetween(-5, -1))).filter("at_home = 1").select(*M.TIE, "form")
-    y = F.when(F.col("hg") > F.col("ag"), 0).when(F.col("hg") == F.col("ag"), 1).otherwise(2)
-    return c.join(form, M.TIE).select(*M.TIE, y.alias("y_1x2"), ((F.col("hg") > 0) & (F.col("ag") > 0)).cast("int").alias("y_btts"), (F.col("hg") + F.col("ag") > 2).cast("int").alias("y_o25"), r(F.coalesce((F.col("hc") + F.col("ac")).cast("double"), "form", F.lit(-1.0)), "y_corners", 6))
+    """Training labels; missing counts fall back to the sum of both teams' five-match means, then to the mask -1."""
+    return M.training_labels(canon(spark, sf_dir)).withColumns({"y_corners": F.round("y_corners", 6), "y_cards": F.round("y_cards", 6)})
 
 
 @query("a33_league_page", PRED + """ SELECT league, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN trust >= 70 THEN 1 ELSE 0 END) AS BIGINT) AS trusted, CAST(sum(CASE WHEN cld > 0.01e0 THEN 1 ELSE 0 END) AS BIGINT) AS sharp, round(avg(trust), 6) AS mean_trust,

@@ -45,10 +45,10 @@ def w05(spark, sf_dir):
     return s.select("league", "team", "match_date", *M.TIE, "at_home", F.round(F.coalesce(F.least(F.lit(1.0), days / 7.0), F.lit(0.43)), 6).alias("rest"))
 
 
-@query("w07_form", SIDES + f""" SELECT league, team, match_date, ok, ln, pk, sk, at_home, round(coalesce(sum(pts) OVER w / (3e0 * count(*) OVER w), 0.5e0), 6) AS form_last5 FROM sides WINDOW w AS (PARTITION BY league, team ORDER BY {ORD}, at_home ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
+@query("w07_form", SIDES + f""" SELECT league, team, match_date, ok, ln, pk, sk, at_home, round(coalesce(sum(pts) OVER w / 15e0, 0.5e0), 6) AS form_last5 FROM sides WINDOW w AS (PARTITION BY league, team ORDER BY {ORD}, at_home ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
 def w07(spark, sf_dir):
     w = T.by_team().rowsBetween(-5, -1)
-    form = F.coalesce(F.sum("pts").over(w) / F.when(F.count("*").over(w) > 0, 3.0 * F.count("*").over(w)), F.lit(0.5))
+    form = F.coalesce(F.sum("pts").over(w) / 15.0, F.lit(0.5))  # of the 15 points of five wins, however many matches there are
     return M.sides(canon(spark, sf_dir)).select("league", "team", "match_date", *M.TIE, "at_home", F.round(form, 6).alias("form_last5"))
 
 
@@ -60,14 +60,19 @@ def w08(spark, sf_dir):
     return T.streaks(M.sides(canon(spark, sf_dir))).select("league", "team", "match_date", *M.TIE, "at_home", "streak")
 
 
-@query("w09_head_to_head", CANON + f""", h AS (SELECT *, CASE WHEN home < away THEN home ELSE away END AS t1, CASE WHEN home < away THEN away ELSE home END AS t2 FROM canon)
+@query("w09_head_to_head", CANON + f""", h AS (SELECT *, CASE WHEN home < away THEN home ELSE away END AS t1, CASE WHEN home < away THEN away ELSE home END AS t2, CASE WHEN hg > ag THEN home WHEN hg < ag THEN away ELSE '' END AS winner FROM canon)
  SELECT league, match_date, home, away, CAST(count(*) OVER w AS BIGINT) AS met, round(coalesce(avg(CASE WHEN hg = ag THEN 1e0 ELSE 0e0 END) OVER w, 1/3e0), 6) AS draw_rate, round(coalesce(avg(hg + ag) OVER w, 2.5e0), 6) AS goals,
- round(coalesce(avg(CASE WHEN hg > ag THEN 1e0 ELSE 0e0 END) OVER w, 1/3e0), 6) AS home_rate FROM h WINDOW w AS (PARTITION BY league, t1, t2 ORDER BY {ORD} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
+ round(coalesce(CASE WHEN home = t1 THEN avg(CASE WHEN winner = t1 THEN 1e0 ELSE 0e0 END) OVER w ELSE avg(CASE WHEN winner = t2 THEN 1e0 ELSE 0e0 END) OVER w END, 1/3e0), 6) AS home_rate,
+ round(coalesce(CASE WHEN home = t1 THEN avg(CASE WHEN winner = t2 THEN 1e0 ELSE 0e0 END) OVER w ELSE avg(CASE WHEN winner = t1 THEN 1e0 ELSE 0e0 END) OVER w END, 1/3e0), 6) AS away_rate FROM h WINDOW w AS (PARTITION BY league, t1, t2 ORDER BY {ORD} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
 def w09(spark, sf_dir):
     w = Window.partitionBy("league", F.array_sort(F.array("home", "away"))).orderBy("match_date", *M.TIE).rowsBetween(-10, -1)
     rate = lambda c, d: F.round(F.coalesce(F.avg(c).over(w), F.lit(d)), 6)
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    return canon(spark, sf_dir).select("league", "match_date", "home", "away", F.count("*").over(w).alias("met"), rate(one(F.col("hg") == F.col("ag")), 1 / 3).alias("draw_rate"), rate(F.col("hg") + F.col("ag"), 2.5).alias("goals"), rate(one(F.col("hg") > F.col("ag")), 1 / 3).alias("home_rate"))
+    winner = F.when(F.col("hg") > F.col("ag"), F.col("home")).when(F.col("hg") < F.col("ag"), F.col("away")).otherwise("")
+    first, second = F.avg(one(winner == F.least("home", "away"))).over(w), F.avg(one(winner == F.greatest("home", "away"))).over(w)
+    own = F.col("home") < F.col("away")
+    won = lambda a, b, n: F.round(F.coalesce(F.when(own, a).otherwise(b), F.lit(1 / 3)), 6).alias(n)
+    return canon(spark, sf_dir).select("league", "match_date", "home", "away", F.count("*").over(w).alias("met"), rate(one(F.col("hg") == F.col("ag")), 1 / 3).alias("draw_rate"), rate(F.col("hg") + F.col("ag"), 2.5).alias("goals"), won(first, second, "home_rate"), won(second, first, "away_rate"))
 
 
 @query("w10_congestion", SIDES + " SELECT league, team, match_date, ok, ln, pk, sk, at_home, CAST(count(*) OVER (PARTITION BY league, team ORDER BY match_date RANGE BETWEEN INTERVAL 21 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS BIGINT) AS last21 FROM sides")
@@ -111,11 +116,12 @@ def w16(spark, sf_dir):
     return years.withColumn("train_rows", F.sum("test_rows").over(before)).filter("train_rows >= 500 and test_rows >= 80")
 
 
-@query("w17_recency_weight", CANON + " SELECT league, match_date, home, away, round(least(3e0, greatest(0.1e0, exp(-date_diff('day', match_date, max(match_date) OVER (PARTITION BY league)) / 730e0) * greatest(0.25e0, coalesce(conf, 0e0)))), 9) AS weight FROM canon")
+@query("w17_recency_weight", CANON + " SELECT league, match_date, home, away, round(least(3e0, greatest(0.1e0, exp(-date_diff('day', match_date, max(match_date) OVER (PARTITION BY league)) / 730e0) * greatest(0.25e0, coalesce(conf, 0.9e0)))), 9) AS weight FROM canon")
 def w17(spark, sf_dir):
-    age = F.datediff(F.max("match_date").over(Window.partitionBy("league")), "match_date")
-    weight = clip(F.exp(-age / 730.0) * F.greatest(F.lit(0.25), F.coalesce("conf", F.lit(0.0))), 0.1, 3.0)
-    return canon(spark, sf_dir).select("league", "match_date", "home", "away", F.round(weight, 9).alias("weight"))
+    c = canon(spark, sf_dir)
+    newest = c.groupBy("league").agg(F.max("match_date").alias("newest"))  # joined back, so that no league is sorted in one task
+    weight = clip(F.exp(-F.datediff("newest", "match_date") / 730.0) * F.greatest(F.lit(0.25), F.coalesce("conf", F.lit(0.9))), 0.1, 3.0)
+    return c.join(newest, "league").select("league", "match_date", "home", "away", F.round(weight, 9).alias("weight"))
 
 
 @query("a25_rolling_tail", SIDES + """, o AS (SELECT *, row_number() OVER (PARTITION BY league, team, at_home ORDER BY match_date DESC, ok DESC, ln DESC, pk DESC, sk DESC) AS back FROM sides)
