@@ -203,3 +203,20 @@ def test_packing(spark, sf_dir):
                 have[b"".join(x.ids for x in parts)] += 1
         assert have == want
     assert pack(empty(spark)).count() == 0
+
+
+def test_ids_of_hostile_texts_are_the_librarys():
+    """Letters that change when they are folded, before punctuation and white space, against a fresh library object."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from touchline.llm.tokens import Encoder, vocabulary_path
+
+    r, letters = random.Random(4), "abI\u0130\u0131\u00df\u00e9\u0149\u01f0\u0958\u00f1.,!?'\"-)( 1\n\t"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 25))) for _ in range(3000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = vocabulary_path(name)
+        plain = Tokenizer.from_file(path)
+        got = Encoder(path).encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]

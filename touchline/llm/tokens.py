@@ -8,6 +8,7 @@ were seen before come from a bounded cache, all others from the library.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,11 @@ def vocabulary_path(name: str) -> str:
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
+def _ends_as_letter(word: str) -> bool:
+    """Whether the word's last letter is still one after folding: a dotted capital I becomes a letter and a mark."""
+    return unicodedata.normalize("NFC", word[-1].lower())[-1].isalpha()
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -82,7 +88,7 @@ class Encoder:
         split, ask = [], {}
         for chunk in chunks:
             word = chunk.rstrip(_PUNCTUATION)
-            if word != chunk and word[-1:].isalpha():
+            if word != chunk and word[-1:].isalpha() and _ends_as_letter(word):
                 parts = (self._folded(word), chunk[len(word) :])
             else:
                 parts = (self._folded(chunk),)
