@@ -169,7 +169,7 @@ def test_every_fixture_is_looked_up_and_every_row_a_rating(spark, sf_dir):
         if near:
             last = max(near, key=lambda c: (c.match_date, *tie(c)))
             want[tie(q)] = (f"{last.hg}-{last.ag}", len(near))
-    got = {tie(r): (r.score, r.n) for r in catalog.queries()["j12_every_fixture_near_date"](spark, sf_dir).collect()}
+    got = {tie(r): (r.score, r.n) for r in catalog.queries()["j12_substring_near_date"](spark, sf_dir).collect()}
     assert got == want and any(k[0] % 40 != 1 for k in got)
     ratings = {}
     for r in rows:
@@ -179,7 +179,7 @@ def test_every_fixture_is_looked_up_and_every_row_a_rating(spark, sf_dir):
     for c in rows:
         seen = {d: v for d, v in ratings.get((c.league, c.away), {}).items() if d <= c.match_date}
         rated.append((c.league, c.match_date, c.home, c.away, seen[max(seen)] if seen else 0.5))
-    assert sorted(map(tuple, catalog.queries()["j07_asof_every_rating"](spark, sf_dir).collect())) == sorted(rated)
+    assert sorted(map(tuple, catalog.queries()["j07_asof_rating"](spark, sf_dir).collect())) == sorted(rated)
 
 
 def test_asof_takes_the_last_known_value(spark):

@@ -46,3 +46,16 @@ def first_existing(columns: list[str], aliases: list[str]) -> Column:
     """coalesce over those aliases that the frame has; null if it has none."""
     found = [F.col(c) for c in aliases if c in columns]
     return F.coalesce(*found) if found else F.lit(None)
+
+
+def parse_day_first(raw: Column) -> Column:
+    """A year in front if four digits and a dash or slash begin the text, else the day in front; null if neither fits."""
+    fit = lambda *formats: F.coalesce(*[F.try_to_date(raw, f) for f in formats])
+    return F.when((F.length(raw) >= 10) & raw.rlike("^[0-9]{4}[-/]"), fit("yyyy-MM-dd", "yyyy/MM/dd")).otherwise(fit("dd/MM/yyyy", "dd-MM-yyyy"))
+
+
+def season_years(code: Column) -> tuple[Column, Column]:
+    """First and last year of a code such as 2425; 2000 and 2001 if it is none."""
+    first, last = F.substring(code, 1, 2).try_cast("int"), F.substring(code, 3, 100).try_cast("int")
+    known, base = first.isNotNull() & last.isNotNull(), F.when(first >= 10, 2000).otherwise(1900)
+    return F.when(known, base + first).otherwise(2000), F.when(known, base + last).otherwise(2001)

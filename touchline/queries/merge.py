@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.bindings import ctes, frame
+from touchline.durable import materialize
 from touchline.functions import text as X
 from touchline.operators import matches as M
 from touchline.operators import merge as G
@@ -105,39 +106,12 @@ def j06(spark, sf_dir):
     return met.select("id", F.coalesce("c1", "c2", "id").alias("canonical_id"), F.when(F.col("c1").isNotNull(), "raw").when(F.col("c2").isNotNull(), "stripped").otherwise("self").alias("how"))
 
 
-@query("j10_fuzzy_block", ctes("names") + """, n AS (SELECT id, lower(trim(name)) AS x, substring(lower(trim(name)), 1, 6) AS b FROM names WHERE id % 4 <> 3), m AS (SELECT id, lower(trim(name)) AS x, substring(lower(trim(name)), 1, 6) AS b FROM names WHERE id % 4 = 3),
- s AS (SELECT n.id, m.id AS match_id, 1e0 - levenshtein(n.x, m.x) / CAST(greatest(length(n.x), length(m.x)) AS DOUBLE) AS score FROM n JOIN m ON n.b = m.b)
- SELECT id, match_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match_id) AS r FROM s WHERE score >= 0.6e0) WHERE r = 1""")
-def j10(spark, sf_dir):
-    """Best fuzzy match in a block.  Similarity is 1 - edit distance / length, a built-in measure near to, but not equal
-    with, a longest-block ratio."""
-    n = frame(spark, sf_dir, "names").select("id", F.lower(F.trim("name")).alias("x")).withColumn("b", F.substring("x", 1, 6))
-    right = n.filter("id % 4 = 3").select(F.col("id").alias("match_id"), F.col("x").alias("y"), "b")
-    score = 1.0 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))
-    met = n.filter("id % 4 <> 3").join(right, "b").withColumn("score", score).filter("score >= 0.6D")
-    best = met.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "match_id")).alias("m"))
-    return best.select("id", "m.match_id", F.round(-F.col("m.s"), 9).alias("score"))
-
-
-@query("j12_substring_near_date", CANON + """, q AS (SELECT league, match_date, home, away, ok, ln, pk, sk FROM canon WHERE ok % 40 = 1), c AS (SELECT league, match_date, home, away, hg, ag, ok, ln, pk, sk FROM canon WHERE ok % 40 <> 1)
- SELECT q.ok, q.ln, q.pk, q.sk, arg_max(concat(CAST(c.hg AS VARCHAR), '-', CAST(c.ag AS VARCHAR)), [epoch_ms(c.match_date::TIMESTAMP), c.ok, c.ln, c.pk, c.sk]) AS score, CAST(count(*) AS BIGINT) AS n FROM q JOIN c ON q.league = c.league AND abs(date_diff('day', q.match_date, c.match_date)) <= 2
- AND (contains(q.home, c.home) OR contains(c.home, q.home)) AND (contains(q.away, c.away) OR contains(c.away, q.away)) GROUP BY ALL""")
-def j12(spark, sf_dir):
-    """Names contained in one another within two days: the days around a fixture are spread, so the join has a key."""
-    c = canon(spark, sf_dir).select("league", "match_date", "home", "away", "hg", "ag", *M.TIE)
-    q = c.filter("ok % 40 = 1").withColumn("day", F.explode(F.sequence(F.date_sub("match_date", 2), F.date_add("match_date", 2)))).alias("q")
-    r = c.filter("ok % 40 <> 1").alias("c")
-    inside = lambda x: F.col(f"q.{x}").contains(F.col(f"c.{x}")) | F.col(f"c.{x}").contains(F.col(f"q.{x}"))
-    met = q.join(r, (F.col("q.league") == F.col("c.league")) & (F.col("q.day") == F.col("c.match_date")) & inside("home") & inside("away"))
-    newest = F.struct("c.match_date", *[f"c.{x}" for x in M.TIE])
-    return met.groupBy(*[F.col(f"q.{x}").alias(x) for x in M.TIE]).agg(F.max_by(F.concat_ws("-", "c.hg", "c.ag"), newest).alias("score"), F.count("*").alias("n"))
-
-
-@query("j12_every_fixture_near_date", CANON + """, q AS (SELECT *, unnest([-2, -1, 0, 1, 2]) AS off FROM canon)
+@query("j12_substring_near_date", CANON + """, q AS (SELECT *, unnest([-2, -1, 0, 1, 2]) AS off FROM canon)
  SELECT q.ok, q.ln, q.pk, q.sk, arg_max(concat(CAST(c.hg AS VARCHAR), '-', CAST(c.ag AS VARCHAR)), [epoch_ms(c.match_date::TIMESTAMP), c.ok, c.ln, c.pk, c.sk]) AS score, CAST(count(*) AS BIGINT) AS n FROM q JOIN canon c ON q.league = c.league AND q.match_date + q.off = c.match_date
  AND (contains(q.home, c.home) OR contains(c.home, q.home)) AND (contains(q.away, c.away) OR contains(c.away, q.away)) AND (q.ok, q.ln, q.pk, q.sk) <> (c.ok, c.ln, c.pk, c.sk) GROUP BY ALL""")
-def j12_every(spark, sf_dir):
-    """Every fixture is looked up among all others; ``j12_substring_near_date`` looks up one in forty, as its SQL does."""
+def j12(spark, sf_dir):
+    """Every fixture is looked up among all others: names contained in one another within two days.  The days around a
+    fixture are spread, so the join has an equal key."""
     c = canon(spark, sf_dir).select("league", "match_date", "home", "away", "hg", "ag", *M.TIE)
     q = c.withColumn("day", F.explode(F.sequence(F.date_sub("match_date", 2), F.date_add("match_date", 2)))).drop("hg", "ag", "match_date")
     q = q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns])
@@ -172,14 +146,16 @@ def j01(spark, sf_dir):
     return o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).filter("l_shipdate >= o_orderdate").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("resolved"))
 
 
-@query("j16_alias_closure", ctes("names") + """, e AS (SELECT CAST(id % 97 AS BIGINT) AS a, CAST(id % 89 AS BIGINT) AS b FROM names WHERE id % 3 = 0 AND id % 97 <> id % 89), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e)
- SELECT a AS alias, CAST(count(DISTINCT b) AS BIGINT) AS reachable FROM (SELECT a, b FROM s UNION SELECT x.a, y.b FROM s x JOIN s y ON x.b = y.a WHERE x.a <> y.b) GROUP BY a""")
+@query("j16_alias_closure", ctes("names") + f""", a AS (SELECT id, {_KEY} AS k FROM names), b AS (SELECT id, CASE WHEN {_STRIP} = '' THEN k ELSE {_STRIP} END AS s FROM a), g AS (SELECT s, min(id) AS c FROM b GROUP BY s), e AS (SELECT id AS a, c AS b FROM b JOIN g USING (s) WHERE id <> c), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)
+ SELECT a AS alias, CAST(count(DISTINCT b) AS BIGINT) AS reachable FROM (SELECT a, b FROM u UNION SELECT x.a, y.b FROM u x JOIN u y ON x.b = y.a WHERE x.a <> y.b) GROUP BY a""")
 def j16(spark, sf_dir):
-    """Aliases in both directions and one hop further."""
-    e = frame(spark, sf_dir, "names").filter("id % 3 = 0").select((F.col("id") % 97).alias("a"), (F.col("id") % 89).alias("b")).filter("a <> b")
-    both = e.union(e.select("b", "a")).distinct()
-    hop = both.alias("x").join(both.alias("y"), F.col("x.b") == F.col("y.a")).filter("x.a <> y.b").select("x.a", "y.b")
-    return both.union(hop).groupBy(F.col("a").alias("alias")).agg(F.countDistinct("b").alias("reachable"))
+    """What an alias reaches by its links in both directions and one hop further, over all names.
+
+    A name is an alias of the least id with its stripped key, so links are stars: a hop from a leaf leads to the other
+    leaves, and the numbers come from the stars' sizes, without pairs of leaves."""
+    n = frame(spark, sf_dir, "names").select("id", X.stripped_team_key(F.col("name")).alias("s"))
+    stars = materialize(n.groupBy("s").agg(F.countDistinct("id").alias("c")).filter("c > 1"))
+    return n.join(stars, "s").select(F.col("id").alias("alias"), (F.col("c") - 1).alias("reachable")).distinct()
 
 
 @query("f20_dates", ctes("raw_dates") + """, p AS (SELECT id, raw, coalesce(try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%Y/%m/%d'), try_strptime(raw, '%d-%m-%Y'))::DATE AS d FROM raw_dates)

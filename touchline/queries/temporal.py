@@ -139,18 +139,10 @@ def d02(spark, sf_dir):
     return T.season_choice(canon(spark, sf_dir), 40)
 
 
-@query("j07_asof_rating", CANON + """, r AS (SELECT league, home AS team, match_date, max(coalesce(conf, 0.5e0)) AS rating FROM canon WHERE ok % 5 = 0 GROUP BY ALL)
+@query("j07_asof_rating", CANON + """, r AS (SELECT league, home AS team, match_date, max(coalesce(conf, 0.5e0)) AS rating FROM canon GROUP BY ALL)
  SELECT c.league, c.match_date, c.home, c.away, coalesce((SELECT arg_max(r.rating, r.match_date) FROM r WHERE r.league = c.league AND r.team = c.away AND r.match_date <= c.match_date), 0.5e0) AS rating FROM canon c""")
 def j07(spark, sf_dir):
-    c = canon(spark, sf_dir)
-    ratings = c.filter("ok % 5 = 0").groupBy("league", F.col("home").alias("team"), "match_date").agg(F.max(F.coalesce("conf", F.lit(0.5))).alias("rating"))
-    return T.asof(c.select("league", "match_date", "home", "away"), ratings, ["league", "away"], ["league", "team"], "match_date", "rating", 0.5)
-
-
-@query("j07_asof_every_rating", CANON + """, r AS (SELECT league, home AS team, match_date, max(coalesce(conf, 0.5e0)) AS rating FROM canon GROUP BY ALL)
- SELECT c.league, c.match_date, c.home, c.away, coalesce((SELECT arg_max(r.rating, r.match_date) FROM r WHERE r.league = c.league AND r.team = c.away AND r.match_date <= c.match_date), 0.5e0) AS rating FROM canon c""")
-def j07_every(spark, sf_dir):
-    """Every canonical row is a rating; ``j07_asof_rating`` takes a fifth of them, as its SQL does."""
+    """Every canonical row is a rating of its home team."""
     c = canon(spark, sf_dir)
     ratings = c.groupBy("league", F.col("home").alias("team"), "match_date").agg(F.max(F.coalesce("conf", F.lit(0.5))).alias("rating"))
     return T.asof(c.select("league", "match_date", "home", "away"), ratings, ["league", "away"], ["league", "team"], "match_date", "rating", 0.5)
