@@ -80,12 +80,12 @@ _PRICES = "1.2e0 + (ok % 30) / 10e0 AS o_h, 2.5e0 + (sk % 17) / 10e0 AS o_d, 1.3
 
 @query("f44_primary_edge", PRED + f""", q AS (SELECT *, {RULES} AS market, {_PRICES} FROM pred), i AS (SELECT *, 1 / o_h + 1 / o_d + 1 / o_a AS book FROM q)
  SELECT {KEYS}, market, round(CASE WHEN market = 'Home Win' THEN p_h - 1 / o_h / book WHEN market = 'Away Win' THEN p_a - 1 / o_a / book WHEN market LIKE '1X%' THEN p_h + p_d - (1 / o_h + 1 / o_d) / book WHEN market LIKE 'X2%' THEN p_a + p_d - (1 / o_a + 1 / o_d) / book
- WHEN market = 'Over 2.5' AND o_over IS NOT NULL THEN p_o25 - 1 / o_over WHEN market = 'BTTS' AND o_btts IS NOT NULL THEN p_btts - 1 / o_btts ELSE 0e0 END, 9) AS edge FROM i""")
+ WHEN market = 'Over 2.5' AND o_over IS NOT NULL THEN p_o25 - 1 / o_over WHEN market = 'BTTS' AND o_btts IS NOT NULL THEN p_btts - 1 / o_btts ELSE 0e0 END, 9) + 0e0 AS edge FROM i""")
 def f44(spark, sf_dir):
     rows = pred(spark, sf_dir).select("*", market_rules().alias("market"), *[F.expr(x.replace("e0", "D")) for x in _PRICES.split(", ")])
     market = P.implied([F.col("o_h"), F.col("o_d"), F.col("o_a")])
     edge = S.primary_edge(F.col("market"), [F.col("p_h"), F.col("p_d"), F.col("p_a")], market, (F.col("p_o25"), F.col("o_over")), (F.col("p_btts"), F.col("o_btts")))
-    return rows.select(*M.TIE, "market", r(edge, "edge"))
+    return rows.select(*M.TIE, "market", (F.round(edge, 9) + 0.0).alias("edge"))  # no negative zeros
 
 
 _DOUBLE = "(ok % 60 + 40) / 100e0 AS x1, (pk % 60 + 30) / 100e0 AS x2, CASE WHEN sk % 3 = 0 THEN NULL ELSE (sk % 90 + 5) / 100e0 END AS dnb"
