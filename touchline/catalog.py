@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from touchline import registry
-from touchline.queries import features, graph, markets, merge, quality, signals, temporal, text  # noqa: F401
+from touchline.queries import features, graph, markets, merge, motifs, quality, scrape, signals, temporal, text  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

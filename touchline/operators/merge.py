@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.matches import TIE
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], overwrite: list[str], fill: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """New rows enter; matched rows take ``overwrite`` from the new row, ``fill`` from it where it has a value, and
@@ -30,3 +32,35 @@ def merge_sources(rows: DataFrame, keys: list[str], rank: str, fields: list[str]
     """One row for each key; each field comes from the best-ranked source that has it."""
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(rank))).alias(c) for c in fields]
     return rows.groupBy(*keys).agg(*first, F.min(rank).alias("best_rank"), F.count("*").alias("merged"))
+
+
+def alias_sweep(matches: DataFrame, aliases: DataFrame, fill: list[str]) -> DataFrame:
+    """Rewrite aliased teams and ids (day_home_away) of ``matches`` by ``aliases`` (league, alias, canonical; one row each).
+
+    Rows that collide become one: the row that kept its names wins, then the least key; its empty ``fill`` columns are
+    taken from the next row that knows them."""
+    to = lambda side: aliases.select("league", F.col("alias").alias(side), F.col("canonical").alias(f"_{side}"))
+    named = matches.join(to("home"), ["league", "home"], "left").join(to("away"), ["league", "away"], "left")
+    moved = F.col("_home").isNotNull() | F.col("_away").isNotNull()
+    order = F.struct(moved.alias("moved"), *TIE)
+    h, a = F.coalesce("_home", "home").alias("_h"), F.coalesce("_away", "away").alias("_a")
+    filled = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in fill]
+    one = named.select("league", "match_date", h, a, order.alias("_order"), *fill).groupBy("league", "match_date", "_h", "_a").agg(F.count("*").alias("n"), F.min("_order").alias("_order"), *filled)
+    return one.select(F.concat_ws("_", F.col("match_date").cast("string"), "_h", "_a").alias("id"), "league", "n", *[F.col("_order")[c].alias(c) for c in TIE], *fill)
+
+
+def intel_lookup(fixtures: DataFrame, reports: DataFrame, value: str) -> DataFrame:
+    """Fixtures with ``value`` and key (intel_ok) of the last report of the same teams and day; names without regard to case.
+
+    ``day`` is text on both sides, cut at its T; reports without a team are no match."""
+    key = lambda c: F.lower(F.trim(c))
+    day = F.split_part("day", F.lit("T"), F.lit(1))
+    known = reports.filter((key("home") != "") & (key("away") != ""))
+    last = known.groupBy(key("home").alias("_h"), key("away").alias("_a"), day.alias("_d")).agg(F.max_by(F.struct(F.col(value), F.col("ok").alias("intel_ok")), F.struct(*TIE)).alias("_last"))
+    found = fixtures.withColumns({"_h": key("home"), "_a": key("away"), "_d": day}).join(last, ["_h", "_a", "_d"], "left")
+    return found.select(*fixtures.columns, F.col("_last")[value].alias(value), F.col("_last.intel_ok").alias("intel_ok"))
+
+
+def without_mocks(rows: DataFrame, allowed: bool = False) -> DataFrame:
+    """Rows that are no mock (an unknown mark is none), or all where mocks are allowed."""
+    return rows if allowed else rows.filter(F.coalesce("is_mock", F.lit(0)) == 0)
