@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import scrape as S
-from touchline.operators import merge, motifs
+from touchline.operators import merge, motifs, temporal
 
 MATCH = "league string, match_date date, home string, away string, ok long, ln int, pk long, sk long"
 
@@ -173,3 +173,10 @@ def test_triangles_kills_and_multipliers(spark):
 def test_strength_change(spark):
     e = edges_of(spark, ("A", "B", 3), ("B", "A", 1), ("A", "C", 2)).withColumn("recent", F.col("dst") == "C")
     assert {r.team: r.change for r in motifs.strength_change(e).collect()} == {"A": pytest.approx(1 - 0.75), "B": pytest.approx(-0.25)}
+
+
+def test_known_team_by_last_word(spark):
+    known = spark.createDataFrame([("L", "AC Milan"), ("L", "Old Milan"), ("L", "Roma"), ("M", "Lazio"), ("L", "")], "league string, team string")
+    rows = spark.createDataFrame([("L", "Roma", 1), ("L", " as  ROMA ", 2), ("L", "Milan", 3), ("L", "Lazio", 4), ("L", None, 5), ("L", " ", 6), ("L", "Roma", 7), (None, "Roma", 8)], "league string, name string, id int")
+    found = {r.id: r.team for r in temporal.with_known_team(rows, known, "name", "team").collect()}
+    assert found == {1: "Roma", 2: "Roma", 3: "AC Milan", 4: None, 5: None, 6: None, 7: "Roma", 8: None}

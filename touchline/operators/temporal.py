@@ -83,3 +83,15 @@ def asof(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: li
     w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     united = a.unionByName(b).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
     return united.filter("_side = 1").select("_row.*", F.coalesce("_last", F.lit(default)).alias(value))
+
+
+def with_known_team(rows: DataFrame, known: DataFrame, team: str, found: str) -> DataFrame:
+    """Add ``found``: the row's team if ``known`` (league, team) has it, else the least known team of the league with the
+    same last word, else null.  Names are resolved once each, not row by row."""
+    last = lambda c: F.element_at(F.split(F.lower(F.trim(c)), r"\s+"), -1)
+    have = known.select("league", "team").distinct()
+    by_word = have.filter(last("team") != "").groupBy("league", last("team").alias("_word")).agg(F.min("team").alias("_near"))
+    named = rows.select("league", F.col(team).alias("_team")).distinct().withColumn("_word", last("_team"))
+    met = named.join(have.select("league", F.col("team").alias("_team"), F.lit(True).alias("_same")), ["league", "_team"], "left").join(by_word, ["league", "_word"], "left")
+    resolved = met.select("league", F.col("_team").alias(team), F.when(F.col("_same"), F.col("_team")).otherwise(F.col("_near")).alias(found))
+    return rows.join(resolved, ["league", team], "left")

@@ -148,6 +148,20 @@ def j07(spark, sf_dir):
     return T.asof(c.select("league", "match_date", "home", "away"), ratings, ["league", "away"], ["league", "team"], "match_date", "rating", 0.5)
 
 
+_OTHER = "CASE WHEN ok % 2 = 0 THEN concat('FC ', away) WHEN ok % 3 = 0 THEN concat(away, ' B') ELSE away END"
+
+
+@query("j07_last_word", CANON + f""", r AS (SELECT league, home AS team, match_date, max(coalesce(conf, 0.5e0)) AS rating FROM canon GROUP BY ALL), c AS (SELECT league, match_date, home, {_OTHER} AS named, CASE WHEN ok % 2 > 0 AND ok % 3 = 0 THEN NULL ELSE away END AS team FROM canon)
+ SELECT c.league, c.match_date, c.home, c.named, coalesce((SELECT arg_max(r.rating, r.match_date) FROM r WHERE r.league = c.league AND r.team = c.team AND r.match_date <= c.match_date), 0.5e0) AS rating FROM c""")
+def j07_last_word(spark, sf_dir):
+    """Ratings of teams that are named otherwise than in the rating table: by the last word of the name."""
+    c = canon(spark, sf_dir)
+    ratings = c.groupBy("league", F.col("home").alias("team"), "match_date").agg(F.max(F.coalesce("conf", F.lit(0.5))).alias("rating"))
+    named = T.with_known_team(c.select("league", "match_date", "home", F.expr(_OTHER).alias("named")), ratings, "named", "team")
+    named = named.withColumn("team", F.coalesce("team", "named"))  # unresolved names stay apart: no group of nulls
+    return T.asof(named, ratings, ["league", "team"], ["league", "team"], "match_date", "rating", 0.5).select("league", "match_date", "home", "named", "rating")
+
+
 @query("j20_latest_rating_top3", CANON + """, r AS (SELECT league, home AS team, arg_max(coalesce(conf, 0.5e0), concat(CAST(match_date AS VARCHAR), lpad(CAST(ok AS VARCHAR), 12, '0'), lpad(CAST(ln AS VARCHAR), 4, '0'), lpad(CAST(pk AS VARCHAR), 9, '0'), lpad(CAST(sk AS VARCHAR), 9, '0'))) AS rating FROM canon GROUP BY ALL)
  SELECT league, team, rating FROM (SELECT *, row_number() OVER (PARTITION BY league ORDER BY rating DESC, team) AS rn FROM r) WHERE rn <= 3""")
 def j20(spark, sf_dir):
