@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm.fixtures import documents, empty, prose
 from touchline.llm.common import table
 from touchline.llm.components import connected_components
-from touchline.llm.ngram_join import NgramJoin, jaccard_components
+from touchline.llm.ngram_join import NgramJoin, head_length, jaccard_components, least_shared
 
 
 def shingle_set(text, k=4):
@@ -99,3 +99,44 @@ def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {(r.node, r.root) for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(41)} | {(100, 100), (101, 100), (103, 100)}
+
+
+@pytest.mark.parametrize(("share", "k"), [(85, 4), (80, 5)])
+def test_every_small_pair_of_sizes(spark, share, k):
+    """All sizes up to 45 with the least overlap that links them, and with one less; each pair has words of its own."""
+    out, want = [], {}
+    for n in range(1, 46):
+        for m in range(-(-share * n // 100), n + 1):
+            least = -(-share * (n + m) // (100 + share))
+            for o in {least, least - 1, m} - {0, m + 1}:
+                tag, same = len(out), o + k - 1
+                x = [f"w{tag}x{i}" for i in range(n + k - 1)]
+                y = [*x[:same], *[f"v{tag}x{i}" for i in range(m - o)]]
+                out += [("en", 10_000 + tag, " ".join(x), "s", "k", "w"), ("en", 10_001 + tag, " ".join(y), "s", "k", "w")]
+                want[10_000 + tag], want[10_001 + tag] = 10_000 + tag, 10_000 + tag + (100 * o < share * (n + m - o))
+    docs = documents(spark, out).filter("doc_id >= 10000")
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs, k, share).collect()} == want
+
+
+@pytest.mark.parametrize("share", [80, 85])
+def test_least_shared_by_placing_tokens(share):
+    """The bound against the worst arrangement: own tokens of both sides stand first."""
+    for n in range(1, 120):
+        worst = n
+        for m in range(-(-share * n // 100), 100 * n // share + 1):
+            o = -(-share * (n + m) // (100 + share))
+            a, b = [("a", i) for i in range(n - o)], [("b", i) for i in range(m - o)]
+            common = [("c", i) for i in range(o)]
+            heads = {*(a + common)[: head_length(n, share)]} & {*(b + common)[: head_length(m, share)]}
+            worst = min(worst, len(heads))
+        assert least_shared(n, share) <= worst
+
+
+def test_ten_and_nine_words(spark):
+    """Seven and six shingles, 6/7 >= 0.85; five and four, 4/5 >= 0.8."""
+    ten, nine = prose(55, 10).split(), prose(56, 9).split()
+    docs = documents(spark, [("en", 800, " ".join(ten), "s", "k", "w"), ("en", 801, " ".join(ten[:9]), "s", "k", "w"), ("en", 810, " ".join(nine), "s", "k", "w"), ("en", 811, " ".join(nine[:8]), "s", "k", "w")])
+    of = lambda share, k: {r.doc_id: r.component_id for r in jaccard_components(docs, k, share).filter("doc_id >= 800").collect()}
+    assert of(85, 4)[801] == 800 and of(80, 5)[811] == 810
+    check(docs)
+    check(docs, 80, 5)

@@ -23,12 +23,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         now = held.read()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _least(both).withColumn("m", F.least("u", "m"))
-        large = Materialized(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        small = large.read().join(_least(large.read()), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        # least partners are written before they are joined to the pairs: Spark splits a hot node only right above an exchange
+        low = Materialized(_least(both).withColumn("m", F.least("u", "m")))
+        large = Materialized(both.filter("v > u").join(low.read(), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low.drop()
+        low = Materialized(_least(large.read()))
+        small = large.read().join(low.read(), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         following = Materialized(small.select("e.*").filter("u <> v").distinct())
         held.drop()
         large.drop()
+        low.drop()
         held, now = following, following.read()
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):

@@ -4,9 +4,9 @@ A document is the set of its word shingles; equal sets are one class.  If two se
 sorted by any one global order, their prefixes (n - ceil(t n) + 1 tokens) share a token.  Candidates must do so under
 three orders, and all three are applied before sets are compared:
 
-1. A hash order, over all classes.  The first FACTOR * (n - ceil(t n)) + 1 tokens of a class must hold more than
-   (FACTOR - 1) * (n - ceil(t n)) that another class has there too, which two aggregations count.  The classes
-   that pass are few, and only their whole sets are built.
+1. A hash order, over all classes.  Of the first FACTOR * (n - ceil(t n)) + 1 tokens of a class, other classes must
+   have as many in the same place as the worst partner that its size allows would have (``least_shared``); two
+   aggregations count them.  The classes that pass are few, and only their whole sets are built.
 2. Rare tokens first: by the number of passing classes that have a token, counted over whole sets.  Passages that many
    documents share stand last, so that they make no candidates.  This order makes the pairs, with the size and
    position bounds of prefix filtering.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,25 @@ def slack(n: int | np.ndarray, share: int) -> int | np.ndarray:
     return n - -(-share * n // 100)
 
 
+def head_length(n: int | np.ndarray, share: int) -> int | np.ndarray:
+    """Tokens of a class that the first order looks at."""
+    return FACTOR * slack(n, share) + 1
+
+
+@lru_cache(maxsize=1 << 16)
+def least_shared(n: int, share: int) -> int:
+    """Head tokens that a class of n tokens has in common with the head of any similar class, at the least.
+
+    Of the common tokens, in order, number c stands at place c + (n - overlap) of the one set and c + (m - overlap) of
+    the other at the latest.  So both heads hold the first head_length(x) - (x - overlap) of them, whichever side is
+    shorter; the partner with the smallest value counts, and for each m the least overlap that is still similar.
+    """
+    m = np.arange(-(-share * n // 100), 100 * n // share + 1)
+    overlap = -(-share * (n + m) // (100 + share))
+    own, other = head_length(n, share) - (n - overlap), head_length(m, share) - (m - overlap)
+    return int(np.minimum(np.minimum(own, other), overlap).min())
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     return ragged(np.concatenate(sets).view(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int64())
 
@@ -75,17 +95,19 @@ def _name(tokens: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
-def _named(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, t1, n, cls (null for empty sets) of each row."""
+def _named(docs: DataFrame, k: int, share: int) -> DataFrame:
+    """doc_id, t1, n, most_alone (head tokens that may be a class's own; see ``least_shared``), cls (null for empty sets) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_worker("ngrams")
         for batch in batches:
             for a, b, sets in _sets(batch.column(2), k):
                 n = pa.array(np.array([len(u) for u in sets], np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), n, pa.array([_name(u) for u in sets], pa.int64())], ["doc_id", "t1", "n", "cls"])
+                alone = pa.array([head_length(len(u), share) - least_shared(len(u), share) if len(u) else 0 for u in sets], pa.int64())
+                ids = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays([*ids, n, alone, pa.array([_name(u) for u in sets], pa.int64())], ["doc_id", "t1", "n", "most_alone", "cls"])
 
-    return docs.select("doc_id", "t1", "text").mapInArrow(run, "doc_id long, t1 long, n long, cls long")
+    return docs.select("doc_id", "t1", "text").mapInArrow(run, "doc_id long, t1 long, n long, most_alone long, cls long")
 
 
 def _heads(docs: DataFrame, k: int, share: int) -> DataFrame:
@@ -95,7 +117,7 @@ def _heads(docs: DataFrame, k: int, share: int) -> DataFrame:
         claim_worker("ngrams")
         for batch in batches:
             for _, _, sets in _sets(batch.column(0), k):
-                heads = _lists([u[: FACTOR * slack(len(u), share) + 1] for u in sets])
+                heads = _lists([u[: head_length(len(u), share)] for u in sets])
                 yield pa.RecordBatch.from_arrays([pa.array([_name(u) for u in sets], pa.int64()), heads], ["cls", "head"])
 
     return docs.select("text").mapInArrow(run, "cls long, head array<long>")
@@ -136,7 +158,7 @@ class NgramJoin:
         self.k, self.share, self.spark = k, share, docs.sparkSession
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("text"))
-        self.rows = Materialized(_named(self.docs, k))
+        self.rows = Materialized(_named(self.docs, k, share))
         self.sets = self._sets_of(self._passing_classes(self.rows.read()))
 
     def _passing_classes(self, rows: DataFrame) -> DataFrame:
@@ -144,8 +166,8 @@ class NgramJoin:
         tokens = _heads(self.docs, self.k, self.share).select("cls", F.explode("head").alias("tok"))
         held = tokens.groupBy("tok").agg(F.min("cls").alias("cls"), F.max("cls").alias("most"))
         alone = held.filter("cls = most").groupBy("cls").agg(F.count("*").alias("alone"))
-        classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "t1")).alias("one"))
-        passing = classes.join(alone, "cls", "left").filter(F.coalesce("alone", F.lit(0)) <= _slack(F.col("n"), self.share))
+        classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("most_alone").alias("most_alone"), F.min(F.struct("doc_id", "t1")).alias("one"))
+        passing = classes.join(alone, "cls", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("most_alone"))
         found = materialize(passing.select("cls", F.col("one.doc_id").alias("id"), F.col("one.t1").alias("t")))
         release(self.spark)
         return found
@@ -233,9 +255,12 @@ class NgramJoin:
         rows = self.rows.read()
         named = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(roots, F.col("cls") == F.col("node"), "left")
         named = named.select("cls", "least", F.coalesce("root", "cls").alias("root"))
-        firsts = named.groupBy("root").agg(F.min("least").alias("component"))
-        found = named.join(firsts, "root").select("cls", "component")
-        return rows.join(found, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+        # written before each join: Spark splits a hot component or class only right above an exchange
+        firsts = materialize(named.groupBy("root").agg(F.min("least").alias("component")))
+        found = materialize(named.join(firsts, "root").select("cls", "component"))
+        shape = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+        linked = rows.filter("cls is not null").join(found, "cls").withColumn("component_id", F.col("component")).select(*shape)
+        return linked.unionByName(rows.filter("cls is null").withColumn("component_id", F.col("doc_id")).select(*shape))
 
     def keepers(self) -> DataFrame:
         """doc_id, t1 of one row of each component: the least id (null ids last), then the least text hash."""
