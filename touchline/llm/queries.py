@@ -12,6 +12,7 @@ from touchline.llm.common import table
 from touchline.llm.decontamination import find_items
 from touchline.llm.ngram_join import jaccard_components
 from touchline.llm.packing import pack
+from touchline.llm.periodic_runs import periodic_runs
 from touchline.llm.quality_cnn import in_fold, score_quality, train_quality
 from touchline.llm.quality_rules import quality_rules
 from touchline.llm.sharding import shard_by_bytes
@@ -69,6 +70,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), damage=True, texts=False)
+
+
 _REGISTERED = [
     op1_quality_classifier,
     op2_sharding,
@@ -80,6 +85,7 @@ _REGISTERED = [
     op8_token_ids,
     op9_packing,
     op10_decontamination,
+    op12_periodic_runs,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _REGISTERED}
 ORACLES: dict[str, str] = oracles.ORACLES
