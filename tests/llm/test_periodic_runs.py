@@ -100,7 +100,7 @@ def test_query(spark, sf_dir):
 
 
 def test_awkward_rows(spark):
-    again = "so it goes on " * 9 + " end \t\n" + "ha " * 30
+    again = "so it goes on " * 9 + "\u00a0end \t\n" + "ha " * 30
     docs = documents(spark, [("en", 900 + i, again, "s", "k", "w") for i in range(40)] + [("en", 900, again, "s", "k", "w"), ("en", None, again, "s", "k", "w")])
     small = docs.filter("length(text) < 20000 or text is null")
     for damage in (False, True):
@@ -111,4 +111,4 @@ def test_awkward_rows(spark):
     assert P.periodic_runs(docs).count() == docs.count()
     assert P.periodic_runs(empty(spark)).count() == 0
     one = [r for r in P.periodic_runs(docs).collect() if r.doc_id == 905]
-    assert one[0].collapsed == "so it goes on  end ha"
+    assert one[0].collapsed == "so it goes on \u00a0end ha"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import oracles
 from touchline.llm.common import table
+from touchline.llm.conversation_repair import damage, repair_conversations
 from touchline.llm.decontamination import find_items
 from touchline.llm.ngram_join import jaccard_components
 from touchline.llm.packing import pack
@@ -74,6 +75,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), damage=True, texts=False)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(*damage(table(spark, sf_dir, "conversations")))
+
+
 _REGISTERED = [
     op1_quality_classifier,
     op2_sharding,
@@ -86,6 +91,7 @@ _REGISTERED = [
     op9_packing,
     op10_decontamination,
     op12_periodic_runs,
+    op13_conversation_repair,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _REGISTERED}
 ORACLES: dict[str, str] = oracles.ORACLES
