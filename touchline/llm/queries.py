@@ -14,6 +14,7 @@ from touchline.llm.decontamination import find_items
 from touchline.llm.ngram_join import jaccard_components
 from touchline.llm.packing import pack
 from touchline.llm.periodic_runs import periodic_runs
+from touchline.llm.pii_crf import pii_report, train_pii
 from touchline.llm.quality_cnn import in_fold, score_quality, train_quality
 from touchline.llm.quality_rules import quality_rules
 from touchline.llm.sharding import shard_by_bytes
@@ -71,6 +72,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_report(docs, train_pii(docs))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), damage=True, texts=False)
 
@@ -90,6 +96,7 @@ _REGISTERED = [
     op8_token_ids,
     op9_packing,
     op10_decontamination,
+    op11_pii,
     op12_periodic_runs,
     op13_conversation_repair,
 ]
