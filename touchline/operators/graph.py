@@ -87,19 +87,3 @@ def replay_ratings(matches: DataFrame, rate: float = 0.035, carry: float = 0.7)
     cols = ["league", "match_date", "home", "away", "hg", "ag", *TIE]
     ordered = matches.select(*cols).repartition("league").sortWithinPartitions("league", "match_date", "home", *TIE)
     return ordered.mapInPandas(run, "league string, match_date date, home string, away string, hg int, ag int, ok long, ln int, pk long, sk long, home_rating double, away_rating double")
-
-
-def spectral_centrality(edges: DataFrame) -> DataFrame:
-    """Leading eigenvector of each league's symmetric weight matrix, scaled to a largest entry of 1.
-
-    A group has the pairs of one league's teams; the edges are aggregated before."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        teams = sorted({*pdf.src, *pdf.dst})
-        at = {t: i for i, t in enumerate(teams)}
-        m = np.zeros((len(teams), len(teams)))
-        np.add.at(m, (pdf.src.map(at).to_numpy(), pdf.dst.map(at).to_numpy()), pdf.weight.to_numpy())
-        vector = np.abs(np.linalg.eigh((m + m.T) / 2)[1][:, -1])
-        return pd.DataFrame({"league": pdf.league.iloc[0], "team": teams, "centrality": vector / max(vector.max(), 1e-12)})
-
-    return edges.groupBy("league").applyInPandas(run, "league string, team string, centrality double")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.prob import clip
 from touchline.operators.matches import TIE
+from touchline.operators.matching import greedy_pairs  # noqa: F401
 
 
 def date_window(rows: DataFrame, day: Column, reference: str, past: int, future: int, unknown_passes: bool) -> DataFrame:
@@ -67,27 +67,3 @@ def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / length, over letters, digits and spaces in lower case."""
     x, y = (F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", "")) for c in (a, b))
     return 1.0 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
-
-
-def greedy_pairs(scored: DataFrame, block: list[str], least: float = 0.65) -> DataFrame:
-    """One-to-one matches inside blocks.  scored: the block's columns, src, dst, rank (source order), place (target
-    order), score.  In source order each source takes its best free target, if that scores ``least`` or more.
-
-    A block is one league's day, so its pairs are few; blocks are independent and Spark spreads them."""
-
-    def pick(pairs: pd.DataFrame) -> pd.DataFrame:
-        taken: set[object] = set()
-
-        def chosen() -> Iterator[int]:
-            done: set[object] = set()
-            for row in pairs.sort_values(["rank", "score", "place"], ascending=[True, False, True]).itertuples():
-                if row.src in done or row.dst in taken:
-                    continue
-                done.add(row.src)
-                taken.add(row.dst)
-                yield row.Index
-
-        return pairs.loc[list(chosen()), ["src", "dst", "score"]]
-
-    kinds = dict(scored.dtypes)
-    return scored.filter(F.col("score") >= least).groupBy(*block).applyInPandas(pick, f"src {kinds['src']}, dst {kinds['dst']}, score double")

@@ -9,6 +9,7 @@ from touchline.functions import prob as P
 from touchline.functions import situation as S
 from touchline.functions import text as X
 from touchline.operators import matches as M
+from touchline.operators import matching as B
 from touchline.operators import reports as R
 from touchline.operators.markets import market_hit, market_rules
 from touchline.queries.markets import ABOUT, HIT, PRED, RULES, pred, r
@@ -219,13 +220,26 @@ def _reported(spark, sf_dir):
     return rows.join(canon(spark, sf_dir).select("league", "match_date", "home", "away", *M.TIE), ["league", "match_date"])
 
 
+def _asked(spark, sf_dir):
+    """Rows of one source, with the plural slip that some of its names have, to be found among the canonical rows."""
+    slip = lambda x, k: F.concat(x, F.when(F.col(k) % 2 == 0, "s").otherwise(""))
+    return contests(spark, sf_dir).filter("source = 'historical_csv'").select("league", "match_date", slip("home", "pk").alias("q_home"), slip("away", "sk").alias("q_away"), *M.TIE)
+
+
 @query("j11_one_to_one")
 def j11(spark, sf_dir):
     """Greedy one-to-one matches inside a league's day; no SQL, as each choice depends on the ones before it."""
-    score = F.round((R.similarity(F.col("q_home"), F.col("home")) + R.similarity(F.col("q_away"), F.col("away"))) / 2, 9)
-    named = lambda p: F.format_string("%012d-%04d-%09d-%09d", *[F.col(f"{p}{x}") for x in M.TIE])  # noqa: E731 - sorts as the numbers do
-    ranked = _reported(spark, sf_dir).select("league", "match_date", named("q_").alias("src"), named("").alias("dst"), named("q_").alias("rank"), named("").alias("place"), score.alias("score"))
-    return R.greedy_pairs(ranked, ["league", "match_date"])
+    named = F.format_string("%012d-%04d-%09d-%09d", *M.TIE)  # sorts as the numbers do
+    rows = _asked(spark, sf_dir).withColumns({"src": named, "rank": named}).drop(*M.TIE)
+    fixtures = canon(spark, sf_dir).select("league", "match_date", "home", "away", named.alias("dst"), named.alias("place"))
+    return R.greedy_pairs(B.scored_fixtures(rows, fixtures, ["league", "match_date"]), ["league", "match_date"])
+
+
+@query("j10_matching_blocks")
+def j10_blocks(spark, sf_dir):
+    """``j10_fuzzy_block`` with the similarity of matching blocks, which SQL lacks: best home name of 0.70 or more, away name of 0.60 or more."""
+    found = B.best_fixture(_asked(spark, sf_dir), canon(spark, sf_dir), ["league", "match_date"], M.TIE, M.TIE)
+    return found.select(*M.TIE, *[f"m_{x}" for x in M.TIE], r(F.col("home_score"), "home_score"), r(F.col("away_score"), "away_score"))
 
 
 @query("j10_fuzzy_block", CANON + f""", s AS (SELECT league, match_date, concat(home, CASE WHEN pk % 2 = 0 THEN 's' ELSE '' END) AS h, concat(away, CASE WHEN sk % 2 = 0 THEN 's' ELSE '' END) AS a, {KEYS} FROM contests WHERE source = 'historical_csv'),
