@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,20 +35,10 @@ def read_season_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """CSV members of zip archives; an archive is read in one task, its members one after the other."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch.path, batch.content, strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in sorted(archive.namelist()):
-                        if member.lower().endswith(".csv"):
-                            for part in pd.read_csv(archive.open(member), dtype=str, chunksize=25_000):
-                                yield part.reindex(columns=columns).assign(file=f"{name}#{member}")
-
-    schema = ", ".join(f"`{c}` string" for c in columns) + ", file string"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return normalise(files.mapInPandas(run, schema))
+    """CSV members of zip archives, one task for each member."""
+    from touchline.sources import archives
+
+    return archives.read_zipped_csv(spark, path, columns)
 
 
 def read_football_json(spark: SparkSession, path: str) -> DataFrame:
