@@ -219,3 +219,28 @@ def test_stream_closes_windows_and_survives_restart(spark, tmp_path):
         odds.run_once(odds.windowed_odds(odds.read_events(spark, str(src), schema)), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("starts").collect()
     assert [(r.n, r.opening, r.closing) for r in got] == [(8, 8.0 * d, 8.0 * d + 7) for d in range(4)]
+
+
+def test_alias_sets_by_brute_force(spark):
+    """Chains, loops, several canonicals of one alias, a name without links."""
+    links = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("z", "z"), ("m", "n1"), ("m", "n2"), ("k", "n1"), ("l", "n2"), (None, "q"), ("q", None)]
+    names = [*"abcdxyzmkl", "n1", "lonely", "a", None]
+    got = {}
+    for r in U.alias_sets(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(links * 2, "alias string, canonical string")).collect():
+        assert r.other not in got.setdefault(r.name, set())
+        got[r.name].add(r.other)
+    known = [x for x in links if None not in x]
+    want = {}
+    for n in set(names) - {None}:
+        near = {n} | {c for a, c in known if a == n} | {a for a, c in known if c == n}
+        want[n] = near | {a for a, c in known if c in near - {n}}
+    assert got == want
+
+
+def test_keepers_and_versions(spark):
+    rows = [("g", 3, 1), ("g", 1, 9), ("g", 1, 2), ("h", 5, 5), (None, 7, 7)]
+    got = {(r.a, r.b): (r.keep_a, r.keep_b) for r in U.keepers(spark.createDataFrame(rows, "k string, a int, b int"), ["k"], ["a", "b"]).collect()}
+    assert got == {(3, 1): (1, 2), (1, 9): (1, 2), (1, 2): (1, 2), (5, 5): (5, 5), (7, 7): (7, 7)}
+    told = spark.createDataFrame([(1, "old", 1, "a", None), (1, "old", 2, "b", 5), (1, "new", 3, None, None), (1, "new", 2, "d", 9), (2, "none", 1, "e", 1), (3, "old", 1, "f", 2)], "id int, role string, v int, core string, stat int")
+    out = U.upsert_versions(told, ["id"], F.col("role") == "old", F.col("role") == "new", F.col("v"), ["core"], ["stat"])
+    assert sorted(map(tuple, out.collect())) == [(1, None, None), (3, "f", 2)]

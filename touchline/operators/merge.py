@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.durable import materialize
 from touchline.operators.matches import TIE
 
 
+def upsert_versions(rows: DataFrame, keys: list[str], old: Column, new: Column, order: Column, overwrite: list[str], fill: list[str] = (), keep: list[str] = ()) -> DataFrame:
+    """``upsert`` of two roles of one table's rows: per key the least ``old`` row and the greatest ``new`` one by ``order``.  One shuffle."""
+    body = F.struct(*overwrite, *fill, *keep)
+    per = rows.groupBy(*keys).agg(F.min_by(body, F.when(old, order)).alias("o"), F.max_by(body, F.when(new, order)).alias("n"), F.max(new).alias("present"))
+    rule = [F.when(F.col("present"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in overwrite]
+    rule += [F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in fill] + [F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in keep]
+    return per.filter("o is not null or n is not null").select(*keys, *rule)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], overwrite: list[str], fill: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """New rows enter; matched rows take ``overwrite`` from the new row, ``fill`` from it where it has a value, and
-    ``keep`` from it only where the old row has none.  Each side has one row for each key."""
-    met = old.alias("o").join(new.withColumn("_present", F.lit(1)).alias("n"), keys, "full")
-    rule = [F.when(F.col("n._present").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in overwrite]
-    rule += [F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in fill] + [F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in keep]
-    return met.select(*keys, *rule)
+    ``keep`` from it only where the old row has none.  Each side has one row for each key; rows of a null key are one.
+
+    Both sides are united under a mark, so that one aggregation does what a full join would do after two."""
+    columns = [*keys, *overwrite, *fill, *keep]
+    both = old.select(*columns, F.lit(False).alias("_new")).unionByName(new.select(*columns, F.lit(True).alias("_new")))
+    return upsert_versions(both, keys, ~F.col("_new"), F.col("_new"), F.lit(0), overwrite, fill, keep)
 
 
 def last_write(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
@@ -64,3 +75,26 @@ def intel_lookup(fixtures: DataFrame, reports: DataFrame, value: str) -> DataFra
 def without_mocks(rows: DataFrame, allowed: bool = False) -> DataFrame:
     """Rows that are no mock (an unknown mark is none), or all where mocks are allowed."""
     return rows if allowed else rows.filter(F.coalesce("is_mock", F.lit(0)) == 0)
+
+
+def keepers(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The rows, and as keep_... the ``order`` columns of the row of each one's group that stays: the least one.
+
+    Groups' least rows are written before the join, so that Spark can split a group that very many rows share."""
+    kept = materialize(rows.groupBy(*group).agg(F.min(F.struct(*order)).alias("_kept")))
+    same = [rows[c].eqNullSafe(kept[c]) for c in group]
+    return rows.join(kept, same).select(*[rows[c] for c in rows.columns], *[F.col("_kept")[c].alias(f"keep_{c}") for c in order])
+
+
+def alias_sets(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """name, other: what each name reaches over ``aliases`` (alias, canonical): itself, one link in either direction, and from there one
+    link more from a canonical name to its aliases.
+
+    Three equi-joins; both directions of the links are written first, so that Spark can split the many aliases of one name."""
+    links = aliases.select("alias", "canonical").filter("alias is not null and canonical is not null").distinct()
+    up = materialize(links.select(F.col("alias").alias("name"), F.col("canonical").alias("other")))
+    down = materialize(links.select(F.col("canonical").alias("name"), F.col("alias").alias("other")))
+    asked = names.select("name").filter("name is not null").distinct()
+    near = asked.join(up.unionByName(down), "name").distinct()
+    far = near.select(F.col("name").alias("of"), F.col("other").alias("name")).filter("of <> name").join(down, "name").select(F.col("of").alias("name"), "other")
+    return asked.select("name", F.col("name").alias("other")).unionByName(near).unionByName(far).distinct()

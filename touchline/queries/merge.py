@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.bindings import ctes, frame
-from touchline.durable import materialize
 from touchline.functions import text as X
 from touchline.operators import matches as M
 from touchline.operators import merge as G
@@ -14,17 +13,19 @@ from touchline.queries.quality import CANON, canon, contests
 from touchline.registry import query
 
 KEY = ["ok", "ln"]
-#: two versions of the order lines: 'old' (the least line of a key) and 'new' (the greatest, for some keys only)
-VERSIONS = ctes("contests") + """, old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ok, ln ORDER BY pk, sk) AS r FROM contests) WHERE r = 1 AND ok % 3 <> 0),
- new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ok, ln ORDER BY pk DESC, sk DESC) AS r FROM contests) WHERE r = 1 AND ok % 4 <> 1)"""
+#: Two versions of the order lines: 'old' (the least line of a key, of known sources) and 'new' (the greatest, with a confidence or of no known
+#: source).  Every line is in one of them at least.
+OLD, NEW = "source IS NOT NULL", "(conf IS NOT NULL OR source IS NULL)"
+VERSIONS = ctes("contests") + f""", old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ok, ln ORDER BY pk, sk) AS r FROM contests WHERE {OLD}) WHERE r = 1),
+ new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ok, ln ORDER BY pk DESC, sk DESC) AS r FROM contests WHERE {NEW}) WHERE r = 1)"""
 
 
 def versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = contests(spark, sf_dir)
     body = F.struct(*[x for x in c.columns if x not in KEY])
     order = F.struct("pk", "sk")
-    old = c.filter("ok % 3 <> 0").groupBy(*KEY).agg(F.min_by(body, order).alias("b")).select(*KEY, "b.*")
-    new = c.filter("ok % 4 <> 1").groupBy(*KEY).agg(F.max_by(body, order).alias("b")).select(*KEY, "b.*")
+    old = c.filter(OLD).groupBy(*KEY).agg(F.min_by(body, order).alias("b")).select(*KEY, "b.*")
+    new = c.filter(NEW).groupBy(*KEY).agg(F.max_by(body, order).alias("b")).select(*KEY, "b.*")
     return old, new
 
 
@@ -32,8 +33,7 @@ def versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
  coalesce(n.hc, o.hc) AS hc, coalesce(n.hy, o.hy) AS hy, coalesce(o.referee, n.referee) AS referee FROM old o FULL JOIN new n ON o.ok = n.ok AND o.ln = n.ln""")
 def k01(spark, sf_dir):
     """Core columns overwritten, statistics filled new over old (gap fill), referee old over new."""
-    old, new = versions(spark, sf_dir)
-    return G.upsert(old, new, KEY, ["odds_h", "source"], ["hc", "hy"], ["referee"])
+    return G.upsert_versions(contests(spark, sf_dir), KEY, F.expr(OLD), F.expr(NEW), F.struct("pk", "sk"), ["odds_h", "source"], ["hc", "hy"], ["referee"])
 
 
 @query("k04_last_write", ctes("contests") + " SELECT ok, ln, pk, sk, source, conf FROM (SELECT *, row_number() OVER (PARTITION BY ok, ln ORDER BY pk DESC, sk DESC) AS r FROM contests) WHERE r = 1")
@@ -55,14 +55,25 @@ def k06(spark, sf_dir):
     return contests(spark, sf_dir).select(*M.TIE, F.round(h, 9).alias("closing_h"), F.round(d, 9).alias("closing_d"), F.round(a, 9).alias("closing_a"))
 
 
-@query("k11_merge_duplicates", ctes("contests") + """ SELECT league, match_date, home, away, max(conf) AS conf, arg_min(referee, ok * 100 + ln) FILTER (referee IS NOT NULL) AS referee, arg_min(hc, ok * 100 + ln) FILTER (hc IS NOT NULL) AS hc,
- CASE WHEN sum(CASE WHEN source = 'browser' THEN 1 ELSE 0 END) > 0 THEN 'browser' ELSE min(source) END AS source, CAST(count(*) AS BIGINT) AS merged FROM contests GROUP BY ALL HAVING count(DISTINCT ok * 100 + ln) = count(*)""")
+_AT = "[ok, ln, pk, sk]"
+
+
+@query("k11_merge_duplicates", ctes("contests") + f""" SELECT league, match_date, home, away, max(conf) AS conf, arg_min(referee, {_AT}) FILTER (referee IS NOT NULL) AS referee, arg_min(hc, {_AT}) FILTER (hc IS NOT NULL) AS hc,
+ CASE WHEN sum(CASE WHEN source = 'browser' THEN 1 ELSE 0 END) > 0 THEN 'browser' ELSE min(source) END AS source, CAST(count(*) AS BIGINT) AS merged FROM contests GROUP BY ALL""")
 def k11(spark, sf_dir):
-    order = F.col("ok") * 100 + F.col("ln")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*M.TIE))).alias(c)
     source = F.when(F.count_if(F.col("source") == "browser") > 0, "browser").otherwise(F.min("source"))
     per = contests(spark, sf_dir).groupBy("league", "match_date", "home", "away")
-    return per.agg(F.max("conf").alias("conf"), first("referee"), first("hc"), source.alias("source"), F.count("*").alias("merged"), F.countDistinct(order).alias("_n")).filter("_n = merged").drop("_n")
+    return per.agg(F.max("conf").alias("conf"), first("referee"), first("hc"), source.alias("source"), F.count("*").alias("merged"))
+
+
+@query("k11_children", ctes("contests") + """, k AS (SELECT ok, ln, pk, sk, source, hc, first_value(ok) OVER w AS keep_ok, first_value(ln) OVER w AS keep_ln, first_value(pk) OVER w AS keep_pk, first_value(sk) OVER w AS keep_sk FROM contests WINDOW w AS (PARTITION BY league, match_date, home, away ORDER BY ok, ln, pk, sk))
+ SELECT keep_ok, keep_ln, keep_pk, keep_sk, CAST(count(*) AS BIGINT) AS children, CAST(count(DISTINCT source) AS BIGINT) AS sources, CAST(count(hc) AS BIGINT) AS with_corners FROM k GROUP BY ALL""")
+def k11_children(spark, sf_dir):
+    """Each merged row's evidence under the key of the row that stays: a report is its own row's child until it is re-keyed."""
+    c = contests(spark, sf_dir)
+    group = ["league", "match_date", "home", "away"]
+    return G.keepers(c.select(*group, *M.TIE, "source", "hc"), group, M.TIE).groupBy(*[f"keep_{x}" for x in M.TIE]).agg(F.count("*").alias("children"), F.countDistinct("source").alias("sources"), F.count("hc").alias("with_corners"))
 
 
 @query("u03_source_merge", ctes("contests") + """, s AS (SELECT *, CASE coalesce(source, 'none') WHEN 'closed_prediction' THEN 1 WHEN 'Flashscore_live' THEN 2 WHEN 'historical_csv' THEN 3 WHEN 'openfootball_repo' THEN 4 WHEN 'browser' THEN 5 ELSE 6 END AS rk FROM contests),
@@ -96,12 +107,12 @@ def f02(spark, sf_dir):
 
 
 @query("j06_alias_lookup", ctes("names") + f""", a AS (SELECT id, name, {_KEY} AS k FROM names), b AS (SELECT id, k, CASE WHEN {_STRIP} = '' THEN k ELSE {_STRIP} END AS s FROM a),
- canon AS (SELECT k, min(id) AS cid FROM b WHERE id % 5 = 4 GROUP BY k), canon2 AS (SELECT s, min(id) AS cid FROM b WHERE id % 5 = 4 GROUP BY s)
+ canon AS (SELECT k, min(id) AS cid FROM b WHERE k = s GROUP BY k), canon2 AS (SELECT s, min(id) AS cid FROM b WHERE k = s GROUP BY s)
  SELECT b.id, coalesce(c.cid, d.cid, b.id) AS canonical_id, CASE WHEN c.cid IS NOT NULL THEN 'raw' WHEN d.cid IS NOT NULL THEN 'stripped' ELSE 'self' END AS how FROM b LEFT JOIN canon c ON b.k = c.k LEFT JOIN canon2 d ON b.s = d.s""")
 def j06(spark, sf_dir):
-    """Alias to canonical name by raw key, then by stripped key; the first writer of a key wins."""
+    """Alias to canonical name by raw key, then by stripped key; names without club tokens are the known ones, and the first writer of a key wins."""
     n = frame(spark, sf_dir, "names").select("id", X.team_key(F.col("name")).alias("k"), X.stripped_team_key(F.col("name")).alias("s"))
-    known = n.filter("id % 5 = 4")
+    known = n.filter("k = s")
     met = n.join(known.groupBy("k").agg(F.min("id").alias("c1")), "k", "left").join(known.groupBy("s").agg(F.min("id").alias("c2")), "s", "left")
     return met.select("id", F.coalesce("c1", "c2", "id").alias("canonical_id"), F.when(F.col("c1").isNotNull(), "raw").when(F.col("c2").isNotNull(), "stripped").otherwise("self").alias("how"))
 
@@ -146,16 +157,18 @@ def j01(spark, sf_dir):
     return o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).filter("l_shipdate >= o_orderdate").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("resolved"))
 
 
-@query("j16_alias_closure", ctes("names") + f""", a AS (SELECT id, {_KEY} AS k FROM names), b AS (SELECT id, CASE WHEN {_STRIP} = '' THEN k ELSE {_STRIP} END AS s FROM a), g AS (SELECT s, min(id) AS c FROM b GROUP BY s), e AS (SELECT id AS a, c AS b FROM b JOIN g USING (s) WHERE id <> c), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)
- SELECT a AS alias, CAST(count(DISTINCT b) AS BIGINT) AS reachable FROM (SELECT a, b FROM u UNION SELECT x.a, y.b FROM u x JOIN u y ON x.b = y.a WHERE x.a <> y.b) GROUP BY a""")
-def j16(spark, sf_dir):
-    """What an alias reaches by its links in both directions and one hop further, over all names.
+#: Alias links of all names: a name is an alias of its key, and a key one of its key without club tokens and of its compact form.
+ALIASES = ctes("names") + f""", a AS (SELECT id, name, {_KEY} AS k FROM names), b AS (SELECT id, name, k, CASE WHEN {_STRIP} = '' THEN k ELSE {_STRIP} END AS s FROM a), links AS (SELECT name AS alias, k AS canonical FROM b UNION SELECT k, s FROM b UNION SELECT replace(k, ' ', ''), k FROM b)"""
 
-    A name is an alias of the least id with its stripped key, so links are stars: a hop from a leaf leads to the other
-    leaves, and the numbers come from the stars' sizes, without pairs of leaves."""
-    n = frame(spark, sf_dir, "names").select("id", X.stripped_team_key(F.col("name")).alias("s"))
-    stars = materialize(n.groupBy("s").agg(F.countDistinct("id").alias("c")).filter("c > 1"))
-    return n.join(stars, "s").select(F.col("id").alias("alias"), (F.col("c") - 1).alias("reachable")).distinct()
+
+@query("j16_alias_closure", ALIASES + """, near AS (SELECT n.k AS name, l.canonical AS other FROM b n JOIN links l ON l.alias = n.k UNION SELECT n.k, l.alias FROM b n JOIN links l ON l.canonical = n.k),
+ far AS (SELECT n.name, l.alias AS other FROM near n JOIN links l ON l.canonical = n.other WHERE n.name <> n.other) SELECT k AS name, k AS other FROM b UNION SELECT name, other FROM near UNION SELECT name, other FROM far""")
+def j16(spark, sf_dir):
+    """What each team key reaches over the alias links: both directions, and one hop further."""
+    raw, key = F.col("name"), X.team_key(F.col("name"))
+    n = frame(spark, sf_dir, "names").select(raw.alias("name"), key.alias("k"), X.stripped_team_key(raw).alias("s"))
+    links = n.select(F.col("name").alias("alias"), F.col("k").alias("canonical")).union(n.select("k", "s")).union(n.select(F.replace("k", F.lit(" "), F.lit("")), "k"))
+    return G.alias_sets(n.select(F.col("k").alias("name")), links)
 
 
 @query("f20_dates", ctes("raw_dates") + """, p AS (SELECT id, raw, coalesce(try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%Y/%m/%d'), try_strptime(raw, '%d-%m-%Y'))::DATE AS d FROM raw_dates)

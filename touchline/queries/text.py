@@ -76,11 +76,12 @@ def s22(spark, sf_dir):
     return per.groupBy("league", "match_date").agg(F.min(F.struct("source_rank", "n")).alias("m")).select("league", "match_date", "m.source_rank", "m.n")
 
 
-@query("s12_first_source_wins", CANON + """, u AS (SELECT 0 AS rk, league, match_date, home, away, ok, ln, pk, sk FROM canon WHERE ok % 2 = 0 UNION ALL SELECT 1, league, match_date, home, away, ok, ln, pk, sk FROM contests)
+@query("s12_first_source_wins", CANON + """, u AS (SELECT 0 AS rk, league, match_date, home, away, ok, ln, pk, sk FROM canon WHERE referee IS NOT NULL UNION ALL SELECT 1, league, match_date, home, away, ok, ln, pk, sk FROM contests)
  SELECT league, match_date, home, away, rk, ok FROM (SELECT *, row_number() OVER (PARTITION BY league, match_date, home, away ORDER BY rk, ok, ln, pk, sk) AS r FROM u) WHERE r = 1""")
 def s12(spark, sf_dir):
+    """Canonical rows that know their referee come first, then reports of any kind; each fixture is taken from the first source that has it."""
     cols = ["league", "match_date", "home", "away", *M.TIE]
-    both = canon(spark, sf_dir).filter("ok % 2 = 0").select(F.lit(0).alias("rk"), *cols).unionByName(contests(spark, sf_dir).select(F.lit(1).alias("rk"), *cols))
+    both = canon(spark, sf_dir).filter("referee is not null").select(F.lit(0).alias("rk"), *cols).unionByName(contests(spark, sf_dir).select(F.lit(1).alias("rk"), *cols))
     first = both.groupBy(*cols[:4]).agg(F.min(F.struct("rk", *M.TIE)).alias("m"))
     return first.select(*cols[:4], "m.rk", "m.ok")
 
