@@ -6,7 +6,7 @@ the shared folder, and the driver only reads whether the rounds may stop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.durable import Materialized, materialize
@@ -142,3 +142,14 @@ def betweenness(edges: DataFrame, normalised: bool = True) -> DataFrame:
     for table in (held, away, links, paths, shares):
         table.drop()
     return out
+
+
+def graph_report(centrality: DataFrame, triangles: DataFrame, kills: DataFrame, top: int = 10) -> DataFrame:
+    """What a graph snapshot holds: league, kind, place, team, value.
+
+    Of each league the ``top`` teams by centrality, the number of its triangles (no team), and its giant killers by kills.
+    Teams are ranked inside their league, so a group is a league's teams."""
+    ranked = lambda df, kind, value: df.select("league", F.lit(kind).alias("kind"), F.row_number().over(Window.partitionBy("league").orderBy(F.desc(value), "team")).alias("place"), "team", F.col(value).cast("double").alias("value"))
+    best = ranked(centrality.withColumnRenamed("node", "team"), "centrality", "centrality").filter(F.col("place") <= top)
+    count = triangles.groupBy("league").agg(F.count("*").cast("double").alias("value")).select("league", F.lit("triangles").alias("kind"), F.lit(1).alias("place"), F.lit(None).cast("string").alias("team"), "value")
+    return best.unionByName(count).unionByName(ranked(kills, "killer", "kills"))

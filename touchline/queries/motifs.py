@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from touchline.operators import centrality as C
 from touchline.operators import matches as M
 from touchline.operators import motifs as G
-from touchline.queries.graph import EDGES, edges
+from touchline.queries.graph import EDGES, decayed, edges
 from touchline.queries.quality import CANON, canon
 from touchline.registry import query
 
@@ -66,3 +67,11 @@ def t06(spark, sf_dir):
     """The ten strongest teams of each league; teams are aggregated before the ranking, so a group is a league's teams."""
     s = edges(spark, sf_dir).groupBy("league", F.col("src").alias("team")).agg(F.sum("weight").alias("strength"))
     return s.withColumn("place", F.row_number().over(Window.partitionBy("league").orderBy(F.desc("strength"), "team"))).filter("place <= 10")
+
+
+@query("g10_graph_snapshot")
+def g10(spark, sf_dir):
+    """What a versioned graph snapshot holds; the centralities are iterated, so no SQL."""
+    e = current(spark, sf_dir)
+    found = C.graph_report(C.eigen_centrality(decayed(spark, sf_dir)), G.bogey_triangles(e), G.giant_kills(e))
+    return found.withColumn("value", F.round("value", 6))
