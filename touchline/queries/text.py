@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.bindings import ctes
 from touchline.operators import events as E
 from touchline.operators import matches as M
+from touchline.operators import schedules as H
 from touchline.queries.quality import CANON, canon, contests
 from touchline.registry import query
 
@@ -99,3 +100,14 @@ def w13(spark, sf_dir):
     pair = canon(spark, sf_dir).select("league", F.least("home", "away").alias("a"), F.greatest("home", "away").alias("b"), "match_date", (F.col("hg") + F.col("ag")).alias("goals"), *M.TIE)
     w = Window.partitionBy("league", "a", "b").orderBy(F.desc("match_date"), *[F.desc(c) for c in M.TIE])
     return pair.withColumn("r", F.row_number().over(w)).filter("r <= 20").groupBy("league", "a", "b").agg(F.count("*").alias("n"), F.sum("goals").alias("goals"), F.max("match_date").alias("latest"))
+
+
+@query("f10_schedule_pages", CANON + " SELECT league, match_date, home, away, lpad(CAST(ok % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(pk % 60 AS VARCHAR), 2, '0') AS kickoff, CAST(count(*) AS BIGINT) AS n FROM canon WHERE pk % 5 > 0 AND sk % 4 > 0 AND home <> away GROUP BY ALL")
+def f10(spark, sf_dir):
+    """One page for each league's day: a date and a time, then the teams, with lines between that say nothing.  A fifth of the
+    dates is another day's, and a quarter of the home teams does not stand right below its date."""
+    c = canon(spark, sf_dir)
+    date = F.date_format(F.when(F.col("pk") % 5 == 0, F.date_add("match_date", 1)).otherwise(F.col("match_date")), "dd.MM.")
+    rows = F.concat_ws("\n", F.format_string("%s %02d:%02d", date, F.col("ok") % 24, F.col("pk") % 60), F.when(F.col("sk") % 4 == 0, "Round 7"), F.concat(F.lit("  "), "home"), F.when(F.col("ok") % 3 == 0, "Advertisement\n12"), F.concat("away", F.lit(" |")), F.lit("Show more"))
+    pages = c.groupBy("league", "match_date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*M.TIE, rows.alias("x")))), lambda s: s["x"]), "\n").alias("page"))
+    return H.parse_schedules(pages, ["league", "match_date"], "page", "match_date").groupBy("league", "match_date", "home", "away", "kickoff").agg(F.count("*").alias("n"))
