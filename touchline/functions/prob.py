@@ -22,8 +22,19 @@ def implied(odds: list[Column], policy: str = "open") -> list[Column]:
     """Probabilities from decimal odds.
 
     ``open``: odds of 1.01 or less count as no price, nulls if no price is left.  ``zero``: the same, zeros instead of
-    nulls.  ``strict``: all odds must be above 0, else nulls.  ``raw``: 1/odds, not normalised.
+    nulls.  ``strict``: all odds must be above 0, else nulls.  ``raw``: 1/odds, not normalised.  ``partial``: odds above 1 share the
+    total of those there are, rounded to four places, the others are null.  ``clipped``: as ``open``, then held in [1e-6, 1] and
+    normalised again.  What odds sum to is ``overround``; one clamped price is ``price``.
     """
+    if policy == "partial":
+        known = [F.when(o > 1, 1 / o) for o in odds]
+        total = sum((F.coalesce(k, F.lit(0.0)) for k in known[1:]), F.coalesce(known[0], F.lit(0.0)))
+        return [F.round(k / F.when(total > 0, total), 4) for k in known]
+    if policy == "clipped":
+        held = [clip(p, 1e-6, 1.0) for p in (F.when(o > 1.01, 1 / o).otherwise(F.lit(0.0)) for o in odds)]
+        some = sum((F.coalesce(o > 1.01, F.lit(False)).cast("int") for o in odds[1:]), F.coalesce(odds[0] > 1.01, F.lit(False)).cast("int")) > 0
+        total = sum(held[1:], held[0])
+        return [F.when(some, h / total) for h in held]
     if policy == "raw":
         return [F.when(o > 0, 1 / o) for o in odds]
     if policy == "strict":
@@ -38,6 +49,17 @@ def implied(odds: list[Column], policy: str = "open") -> list[Column]:
     return [F.when(total > 0, p / F.when(total > 0, total)).otherwise(none) for p in priced]
 
 
+def overround(odds: list[Column], strict: bool = True) -> Column:
+    """What the inverse odds sum to; null if one is missing, or, with ``strict``, not above 0."""
+    total = sum((1 / o for o in odds[1:]), 1 / odds[0])
+    if not strict:
+        return total
+    valid = F.lit(True)
+    for o in odds:
+        valid = valid & F.coalesce(o > 0, F.lit(False))
+    return F.when(valid, total)
+
+
 def poisson_pmf(k: int, mu: Column) -> Column:
     return F.exp(-mu) * F.pow(mu, F.lit(float(k))) / float(factorial(k))
 

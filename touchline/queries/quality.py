@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from touchline.bindings import ctes, frame
 from touchline.durable import Materialized
-from touchline.functions.prob import implied, outcome
+from touchline.functions.prob import implied, outcome, overround, price
 from touchline.operators import matches as M
+from touchline.operators import merge as G
 from touchline.registry import query
 
 COMPLETE = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in M.STATS)
@@ -202,6 +203,25 @@ def f30(spark, sf_dir):
     return contests(spark, sf_dir).select(*M.TIE, r(p[0], "p_h"), r(p[1], "p_d"), r(p[2], "p_a"), r(implied(odds, "strict")[0], "s_h"), r(implied(odds, "raw")[2], "r_a"))
 
 
+@query("f30_variants", ctes("contests") + """, v AS (SELECT ok, ln, pk, sk, odds_h, odds_d, odds_a, CASE WHEN odds_h > 1 THEN 1 / odds_h END AS h, CASE WHEN odds_d > 1 THEN 1 / odds_d END AS d, CASE WHEN odds_a > 1 THEN 1 / odds_a END AS a,
+ CASE WHEN odds_h > 1.01e0 THEN 1 / odds_h ELSE 1e-6 END AS ch, CASE WHEN odds_d > 1.01e0 THEN 1 / odds_d ELSE 1e-6 END AS cd, CASE WHEN odds_a > 1.01e0 THEN 1 / odds_a ELSE 1e-6 END AS ca FROM contests)
+ SELECT ok, ln, pk, sk, round(h / nullif(coalesce(h, 0) + coalesce(d, 0) + coalesce(a, 0), 0), 4) AS partial_h, round(a / nullif(coalesce(h, 0) + coalesce(d, 0) + coalesce(a, 0), 0), 4) AS partial_a, CASE WHEN odds_h > 1.01e0 OR odds_d > 1.01e0 OR odds_a > 1.01e0 THEN round(ch / (ch + cd + ca), 9) END AS clipped_h,
+ CASE WHEN odds_h > 1.01e0 OR odds_d > 1.01e0 OR odds_a > 1.01e0 THEN round(ca / (ch + cd + ca), 9) END AS clipped_a, round(1 / odds_h + 1 / odds_d + 1 / odds_a, 9) AS overround, CASE WHEN odds_h IS NOT NULL THEN round(least(0.99e0, greatest(0.01e0, 1 / odds_h)), 9) END AS clamped_h FROM v""")
+def f30_variants(spark, sf_dir):
+    """The policies that ``f30_implied`` does not show."""
+    odds = [F.col("odds_h"), F.col("odds_d"), F.col("odds_a")]
+    r = lambda x, n: F.round(x, 9).alias(n)
+    part, held = implied(odds, "partial"), implied(odds, "clipped")
+    return contests(spark, sf_dir).select(*M.TIE, part[0].alias("partial_h"), part[2].alias("partial_a"), r(held[0], "clipped_h"), r(held[2], "clipped_a"), r(overround(odds), "overround"), r(price(odds[0]), "clamped_h"))
+
+
+@query("w02_keep_last", ctes("contests") + " SELECT league, match_date, home, away, conf, ok, ln, pk, sk FROM (SELECT *, row_number() OVER (PARTITION BY league, match_date, home, away ORDER BY conf DESC NULLS LAST, ok DESC, ln DESC, pk DESC, sk DESC) AS r FROM contests) WHERE r = 1")
+def w02(spark, sf_dir):
+    """The last row of a fixture by confidence, an unknown one lowest; one partial aggregation, as structs sort nulls first."""
+    rows = contests(spark, sf_dir).select("league", "match_date", "home", "away", "conf", *M.TIE)
+    return G.last_write(rows, ["league", "match_date", "home", "away"], ["conf", *M.TIE])
+
+
 @query("d17_outcomes", ctes("contests") + f" SELECT league, {FTR} AS ftr, CAST(count(*) AS BIGINT) AS n FROM contests GROUP BY ALL")
 def d17(spark, sf_dir):
     return contests(spark, sf_dir).groupBy("league", outcome(F.col("hg"), F.col("ag")).alias("ftr")).agg(F.count("*").alias("n"))
