@@ -244,3 +244,16 @@ def test_keepers_and_versions(spark):
     told = spark.createDataFrame([(1, "old", 1, "a", None), (1, "old", 2, "b", 5), (1, "new", 3, None, None), (1, "new", 2, "d", 9), (2, "none", 1, "e", 1), (3, "old", 1, "f", 2)], "id int, role string, v int, core string, stat int")
     out = U.upsert_versions(told, ["id"], F.col("role") == "old", F.col("role") == "new", F.col("v"), ["core"], ["stat"])
     assert sorted(map(tuple, out.collect())) == [(1, None, None), (3, "f", 2)]
+
+
+def test_canonical_rows_follow_the_files(spark, tmp_path):
+    import shutil
+
+    for t in ("lineitem", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(40).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    first = quality.canon(spark, str(tmp_path)).count()
+    assert quality.canon(spark, str(tmp_path)).count() == first
+    shutil.rmtree(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(400).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert quality.canon(spark, str(tmp_path)).count() > first
+    quality.forget_canon()

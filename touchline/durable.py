@@ -34,6 +34,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def files_of(spark: SparkSession, *paths: str) -> tuple[tuple[str, int, int], ...]:
+    """Names, lengths and times of the files behind some tables (a file, or a folder of files): changes if the tables do."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        for s in where.getFileSystem(conf).listStatus(where):
+            out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def _drop_all() -> None:
     while _kept:
         spark, path = _kept.pop()

@@ -163,3 +163,30 @@ def market_drift(opening: list[Column], current: list[Column]) -> tuple[Column,
     status = F.when(size > 0.05, "Volatile (Smart Money Move)").when(size > 0.02, "Correcting").otherwise("Stable")
     favourite = F.element_at(moves, F.array_position(now, F.array_max(now)).cast("int"))
     return size, status, F.when(favourite > 0.01, "Follow").otherwise("Fading")
+
+
+#: Tiers of trust by their least score, and the move of the closing line beyond which a badge says so.
+TRUST_TIERS = [(70, "HIGH TRUST"), (45, "PLAYABLE TRUST"), (25, "LOW TRUST")]
+BADGE_MOVE = 0.01
+
+
+def trust_score(raw: Column) -> Column:
+    """A whole number from 1 to 100; 1 if it is unknown."""
+    return F.coalesce(clip(F.floor(F.nanvl(raw.cast("double"), F.lit(None).cast("double")) + 0.5), 1, 100).cast("int"), F.lit(1))
+
+
+def trust_tier(score: Column) -> Column:
+    out = F.lit("WATCHLIST")
+    for least, name in reversed(TRUST_TIERS):
+        out = F.when(score >= least, name).otherwise(out)
+    return out
+
+
+def sentiment_badge(move: Column) -> Column:
+    return F.when(move > BADGE_MOVE, "Sharp Backing").when(move < -BADGE_MOVE, "Market Drift").otherwise("Neutral Sentiment")
+
+
+def singularity(p: Column, move: Column, edge: Column, trust: Column) -> Column:
+    """A very sure choice that the closing line confirms, or four good signs at once; unknown values count as 0."""
+    p, move, edge = (F.coalesce(x, F.lit(0.0)) for x in (p, move, edge))
+    return ((p >= 0.82) & (move > 0.03)) | ((trust >= 78) & (p >= 0.68) & (move > 0.02) & (edge > 0.04))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,38 @@ def fold_accents(x: Column) -> Column:
     return F.translate(x, *_ACCENTS)
 
 
+def _latin() -> tuple[str, str]:
+    """Latin letters that are an ASCII letter and marks, and those ASCII letters: what decomposing and dropping marks gives."""
+    pairs = {}
+    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
+        if len(base) == 1 and base.isascii() and base.isalpha():
+            pairs[chr(point)] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+_LATIN = _latin()
+#: Tokens dropped in front of and behind a club's name as often as they stand there, and words dropped anywhere.
+CLUB_PREFIXES = ("a", "as", "ac", "acf", "ss", "us", "ud", "fc", "cf", "rc", "cd", "sd", "sv")
+CLUB_SUFFIXES = ("afc", "calcio", "cf", "club", "cp", "fc", "football", "futbol", "sc", "ud")
+CLUB_WORDS = ("de", "of", "the")
+
+
+def without_marks(x: Column) -> Column:
+    """Every Latin letter with marks as its bare letter, and without marks that stand alone."""
+    return F.regexp_replace(F.translate(x, *_LATIN), "[\u0300-\u036f]", "")
+
+
+def club_key(name: Column) -> tuple[Column, Column]:
+    """A club's key, and the key without its prefixes, suffixes and small words (empty if nothing else is in it).  Unknown names are empty."""
+    plain = F.replace(F.lower(without_marks(F.coalesce(name, F.lit("")))), F.lit("&"), F.lit(" and "))
+    key = F.trim(F.regexp_replace(F.regexp_replace(plain, "['`\u00b4\u2019]", ""), "[^a-z0-9]+", " "))
+    edge = F.regexp_replace(F.concat(key, F.lit(" ")), f"^(?:(?:{'|'.join(CLUB_PREFIXES)}) )+", "")
+    edge = F.regexp_replace(F.concat(F.lit(" "), F.trim(edge)), f"(?: (?:{'|'.join(CLUB_SUFFIXES)}))+$", "")
+    words = F.filter(F.split(F.trim(edge), " "), lambda w: ~w.isin(*CLUB_WORDS))
+    return key, F.array_join(words, " ")
+
+
 def team_key(name: Column) -> Column:
     """Lower case, & spelt out, quotes dropped, everything else but letters and digits a single space."""
     plain = F.regexp_replace(F.replace(fold_accents(F.lower(name)), F.lit("&"), F.lit(" and ")), "['`.]", "")

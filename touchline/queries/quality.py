@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.bindings import ctes, frame
-from touchline.durable import Materialized
+from touchline.durable import Materialized, files_of
 from touchline.functions.prob import implied, outcome, overround, price
 from touchline.operators import matches as M
 from touchline.operators import merge as G
@@ -31,16 +31,30 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _written: dict[tuple[str, str], Materialized] = {}
+#: The files behind each written table.
+_files: dict[tuple[str, str], tuple] = {}
 
 
 def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical rows, written to the shared folder once for each application and folder of tables."""
+    """Canonical rows, written to the shared folder once for each application and state of the tables: new files under the same path
+    are written anew.  Rows that a caller has put there are taken as they are."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _written:
-        _written[key] = Materialized(M.canonical(contests(spark, sf_dir)))
+    if key not in _written or key in _files:
+        files = files_of(spark, *(f"{sf_dir}/{t}.parquet" for t in ("lineitem", "region")))
+        if _files.get(key) != files:
+            if key in _written:
+                _written.pop(key).drop()
+            _written[key], _files[key] = Materialized(M.canonical(contests(spark, sf_dir))), files
     return _written[key].read()
 
 
+def forget_canon() -> None:
+    """Drop the written rows; the next query writes them again."""
+    _files.clear()
+    while _written:
+        _written.popitem()[1].drop()
+
+
 @query("w01_canonical", CANON + " SELECT league, match_date, home, away, hg, ag, conf, source, ok, ln, pk, sk FROM canon")
 def w01(spark, sf_dir):
     return M.canonical(contests(spark, sf_dir)).select("league", "match_date", "home", "away", "hg", "ag", "conf", "source", *M.TIE)

@@ -86,3 +86,28 @@ def a33(spark, sf_dir):
 def t03(spark, sf_dir):
     w = lambda *c: F.row_number().over(Window.partitionBy("league").orderBy(*[F.desc(x) for x in c], *M.TIE))
     return pred(spark, sf_dir).select("league", "match_date", "ok", "ln", w("trust", "p_btts").alias("safety"), w("p_btts", "trust").alias("balance"), w("edge", "trust").alias("value")).filter("safety <= 5 or balance <= 5 or value <= 5")
+
+
+#: The chosen market's probability; the test rows' closing moves and edges are widened, so that all signs occur.
+_CHOSEN = "CASE market WHEN 'Home Win' THEN p_h WHEN 'Away Win' THEN p_a WHEN 'Over 2.5' THEN p_o25 WHEN 'BTTS' THEN p_btts + 0.2e0 WHEN 'X2 (Double Chance)' THEN p_d + p_a ELSE p_h END"
+_SIGNS = PRED + f""", m AS (SELECT *, {RULES} AS market, cld * 2 AS move FROM pred), q AS (SELECT *, {_CHOSEN} AS p FROM m),
+ z AS (SELECT *, CAST(least(100, greatest(1, floor(trust + 0.5e0))) AS INT) AS score, (p >= 0.82e0 AND move > 0.03e0) OR (trust >= 78 AND p >= 0.68e0 AND move > 0.02e0 AND edge > 0.04e0) AS singular FROM q)"""
+
+
+def _signs(spark, sf_dir):
+    from touchline.operators.markets import market_rules
+
+    rows = pred(spark, sf_dir).withColumn("market", market_rules()).withColumns({"move": F.col("cld") * 2, "p": F.expr(_CHOSEN.replace("e0", "D"))})
+    score = P.trust_score(F.col("trust"))
+    return rows.withColumn("score", score).withColumn("singular", P.singularity(F.col("p"), F.col("move"), F.col("edge"), F.col("score")))
+
+
+@query("d14_badges", _SIGNS + """ SELECT ok, ln, pk, sk, score, CASE WHEN score >= 70 THEN 'HIGH TRUST' WHEN score >= 45 THEN 'PLAYABLE TRUST' WHEN score >= 25 THEN 'LOW TRUST' ELSE 'WATCHLIST' END AS tier,
+ CASE WHEN move > 0.01e0 THEN 'Sharp Backing' WHEN move < -0.01e0 THEN 'Market Drift' ELSE 'Neutral Sentiment' END AS badge, singular FROM z""")
+def d14(spark, sf_dir):
+    return _signs(spark, sf_dir).select(*M.TIE, "score", P.trust_tier(F.col("score")).alias("tier"), P.sentiment_badge(F.col("move")).alias("badge"), "singular")
+
+
+@query("a32_header_counts", _SIGNS + " SELECT league, CAST(count(*) AS BIGINT) AS games, CAST(count(*) FILTER (WHERE singular) AS BIGINT) AS singularities, CAST(count(*) FILTER (WHERE score >= 70) AS BIGINT) AS sharps FROM z GROUP BY league")
+def a32(spark, sf_dir):
+    return _signs(spark, sf_dir).groupBy("league").agg(F.count("*").alias("games"), F.count_if("singular").alias("singularities"), F.count_if(F.col("score") >= 70).alias("sharps"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.bindings import ctes
+from touchline.bindings import ctes, frame
+from touchline.functions import text as X
 from touchline.operators import events as E
 from touchline.operators import matches as M
 from touchline.operators import schedules as H
@@ -111,3 +112,22 @@ def f10(spark, sf_dir):
     rows = F.concat_ws("\n", F.format_string("%s %02d:%02d", date, F.col("ok") % 24, F.col("pk") % 60), F.when(F.col("sk") % 4 == 0, "Round 7"), F.concat(F.lit("  "), "home"), F.when(F.col("ok") % 3 == 0, "Advertisement\n12"), F.concat("away", F.lit(" |")), F.lit("Show more"))
     pages = c.groupBy("league", "match_date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*M.TIE, rows.alias("x")))), lambda s: s["x"]), "\n").alias("page"))
     return H.parse_schedules(pages, ["league", "match_date"], "page", "match_date").groupBy("league", "match_date", "home", "away", "kickoff").agg(F.count("*").alias("n"))
+
+
+@query("f01_folded_texts", "SELECT doc_id, md5(lower(strip_accents(coalesce(text, '')))) AS folded, CAST(length(text) - length(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')) AS BIGINT) AS beyond_ascii FROM documents")
+def f01(spark, sf_dir):
+    """Whole texts without marks on their letters, as a digest, and how many characters are beyond ASCII then."""
+    bare = X.without_marks(F.coalesce("text", F.lit("")))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(bare)).alias("folded"), (F.length("text") - F.length(F.regexp_replace(X.without_marks(F.col("text")), "[^\\x00-\\x7F]", ""))).cast("bigint").alias("beyond_ascii"))
+
+
+_CLUB = "concat_ws(' ', CASE CAST(regexp_extract(name, '[aeiou]') AS STRING) WHEN 'a' THEN 'F.C.' WHEN 'e' THEN 'AC US' WHEN 'i' THEN 'The' ELSE 'Cd' END, name, CASE WHEN id % 3 = 0 THEN 'Calcio CF' WHEN id % 3 = 1 THEN 'of Club & Co' ELSE NULL END)"
+
+
+@query("f03_club_keys", ctes("names") + f""", c AS (SELECT id, {_CLUB.replace(" AS STRING", " AS VARCHAR")} AS club FROM names), k AS (SELECT id, trim(regexp_replace(regexp_replace(replace(lower(strip_accents(club)), '&', ' and '), '[''`´’]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM c),
+ e AS (SELECT *, trim(regexp_replace(' ' || trim(regexp_replace(key || ' ', '^((a|as|ac|acf|ss|us|ud|fc|cf|rc|cd|sd|sv) )+', '')), '( (afc|calcio|cf|club|cp|fc|football|futbol|sc|ud))+$', '')) AS edge FROM k)
+ SELECT id, key, array_to_string(list_filter(string_split(edge, ' '), lambda w: w NOT IN ('de', 'of', 'the')), ' ') AS bare FROM e""")
+def f03(spark, sf_dir):
+    club = frame(spark, sf_dir, "names").select("id", F.expr(_CLUB.replace("'[aeiou]'", "'[aeiou]', 0")).alias("club"))
+    key, bare = X.club_key(F.col("club"))
+    return club.select("id", key.alias("key"), bare.alias("bare"))
