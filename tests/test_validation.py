@@ -179,3 +179,18 @@ def test_queries(spark, sf_dir):
     assert {r.league for r in Q.a28(spark, sf_dir).collect()} == {r.league for r in rows.select("league").distinct().collect()}
     one = rows.orderBy("league", "match_date", "ok").limit(300).collect()
     assert any(r.h_gf is None for r in one) and any(r.h_gf is not None for r in one)
+
+
+def test_importances(spark):
+    rows = data(500, 7)
+    df = spark.createDataFrame(rows, SCHEMA)
+    w = V.fit_side_by_side(df.withColumn("models", F.array(F.lit(0))), FEATURES, [V.Spec()])[0]
+    x = matrix(rows)
+    centred = w - w.mean(1, keepdims=True)
+    assert np.allclose(softmax(x @ w), softmax(x @ centred))
+    got = {(r.feature, r["class"]): r for r in V.importances(df, FEATURES).collect()}
+    for k, f in enumerate(FEATURES):
+        for c in range(3):
+            assert got[f, c].weight == pytest.approx(centred[k, c], abs=1e-9) and got[f, c].importance == pytest.approx(abs(centred[k, c]) * x[:, k].std(), abs=1e-9)
+    assert sorted(r.place for r in got.values() if r["class"] == 1) == [1, 2, 3, 4, 5]
+    assert got["a", 0].place == 1  # the first class was made of it

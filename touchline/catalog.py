@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from touchline import registry
-from touchline.queries import bundles, context, events, features, graph, markets, merge, motifs, patterns, quality, router, scrape, sequences, signals, temporal, text, validation  # noqa: F401
+from touchline.queries import bundles, context, events, features, fusion, graph, markets, merge, motifs, patterns, quality, router, scrape, sequences, signals, temporal, text, validation  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

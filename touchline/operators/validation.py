@@ -266,3 +266,17 @@ def sweep(rows: DataFrame, key: list[str], features: list[str], specs: list[Spec
     long = judged.select("y", F.posexplode(F.array(*[f"p{s}" for s in range(len(specs))])).alias("candidate", "p"))
     by = long.groupBy("candidate").agg(*_metrics(F.col("p"), F.col("y")))
     return by.withColumn("place", F.row_number().over(Window.orderBy("log_loss", "candidate")))  # a row for each candidate
+
+
+def importances(rows: DataFrame, features: list[str], spec: Spec = Spec()) -> DataFrame:
+    """feature, class, weight, spread, importance, place: a model of all rows, and how much each feature moves each class's logit.
+
+    The weight is centred over the classes (a model is the same with a constant added to all of them); importance is its size times
+    the feature's standard deviation, missing values counting as 0 as in the model.  Places go by the importance of a class."""
+    seen = rows.withColumn("models", F.array(F.lit(0)))
+    weights = fit_side_by_side(seen, features, [spec])[0][:-1]
+    centred = weights - weights.mean(1, keepdims=True)
+    spread = rows.agg(*[F.coalesce(F.stddev_pop(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))), F.lit(0.0)).alias(f"s{k}") for k, c in enumerate(features)]).first()
+    made = [(f, c, float(centred[k, c]), float(spread[k])) for k, f in enumerate(features) for c in range(CLASSES)]  # a row for each feature and class
+    found = rows.sparkSession.createDataFrame(made, "feature string, class int, weight double, spread double").withColumn("importance", F.abs("weight") * F.col("spread"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("importance"), "feature")))

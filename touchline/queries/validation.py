@@ -69,3 +69,10 @@ def m01(spark, sf_dir):
     named = rows.select("league", "match_date", *M.TIE, F.element_at(F.array(F.lit("H"), F.lit("D"), F.lit("A")), F.col("y") + 1).alias("ftr"), *[F.col(m).alias(p) for m, p in zip(MARKET, K.OUTCOMES.values(), strict=True)])
     found = K.calibrate(named, K.fit_isotonic(named), ["league", *M.TIE])
     return found.select("league", *M.TIE, *[F.round(c, 9).alias(c) for c in ("cal_h", "cal_d", "cal_a")])
+
+
+@query("m12_importances")
+def m12(spark, sf_dir):
+    """What moves the outcome model's logits most; fitted by Newton steps, so no SQL."""
+    found = V.importances(outcome_rows(spark, sf_dir), FEATURES)
+    return found.select("feature", "class", *[F.round(c, 6).alias(c) for c in ("weight", "spread", "importance")], "place")
