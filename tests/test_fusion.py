@@ -18,13 +18,13 @@ def test_without_any_model(spark):
 
 
 def test_first_model_and_news(spark):
-    r = one(spark, v11_h=0.5, v11_d=0.3, v11_a=0.2, v9_h=0.1, v9_d=0.1, v9_a=0.8, news_h=0.5, news_a=0.0)
+    r = one(spark, first_h=0.5, first_d=0.3, first_a=0.2, second_h=0.1, second_d=0.1, second_a=0.8, news_h=0.5, news_a=0.0)
     h, d, a = 0.7, 0.3, 0.05
     assert (r.p_h, r.p_d, r.p_a) == pytest.approx((h / 1.05, d / 1.05, a / 1.05))
 
 
 def test_order_of_blends(spark):
-    r = one(spark, v9_h=0.6, v9_d=0.2, v9_a=0.2, graph_h=0.2, graph_d=0.2, graph_a=0.6, graph_recommended=0.1, graph_loss_lift=0.005, graph_accuracy_lift=0.5, tree_h=0.0, tree_d=0.0, tree_a=1.0, goal_h=0.3, goal_d=0.4, goal_a=0.3, goal_fitted=True, goal_o25=0.9, iso_h=0.5, iso_d=None, iso_a=0.5)
+    r = one(spark, second_h=0.6, second_d=0.2, second_a=0.2, graph_h=0.2, graph_d=0.2, graph_a=0.6, graph_recommended=0.1, graph_loss_lift=0.005, graph_accuracy_lift=0.5, tree_h=0.0, tree_d=0.0, tree_a=1.0, goal_h=0.3, goal_d=0.4, goal_a=0.3, goal_fitted=True, goal_o25=0.9, iso_h=0.5, iso_d=None, iso_a=0.5)
     w = 0.16
     p = [0.6 * (1 - w) + 0.2 * w, 0.2, 0.2 * (1 - w) + 0.6 * w]
     for other, v in (([0.0, 0.0, 1.0], 0.15), ([0.3, 0.4, 0.3], 0.22)):

@@ -53,7 +53,7 @@ def unbiased(probs: list[Column], factors: list[Column], alpha: float = BIAS) ->
 def fuse(rows: DataFrame) -> DataFrame:
     """The rows with p_h, p_d, p_a, p_btts, p_o25, p_o15, p_o35 and graph_weight.
 
-    In this order: the first model (``v11_...``, moved by the news ``news_h`` and ``news_a``) or, without it, the second (``v9_...``); the graph model
+    In this order: the first model (``first_...``, moved by the news ``news_h`` and ``news_a``) or, without it, the second (``second_...``); the graph model
     (``graph_...``, weighted by ``graph_recommended`` and its lifts); trees (``tree_...``); the goal model (``goal_...``, heavier if ``goal_fitted``), with the lines; the
     table's situation (press, rank, must of both sides); the bias factors; the isotonic fit (``iso_...``).  Columns may be missing or null: a
     stage whose inputs are unknown changes nothing.  One projection for each stage and no shuffle."""
@@ -62,13 +62,13 @@ def fuse(rows: DataFrame) -> DataFrame:
     three = lambda m: [get(f"{m}_{s}").cast("double") for s in THREE]
     now = lambda: [F.col(f"_p_{s}") for s in THREE]
     put = lambda df, probs: df.withColumns({f"_p_{s}": p for s, p in zip(THREE, probs, strict=True)})
-    first = get("v11_h").isNotNull() & get("v11_d").isNotNull() & get("v11_a").isNotNull()
+    first = get("first_h").isNotNull() & get("first_d").isNotNull() & get("first_a").isNotNull()
     shift = (F.coalesce(get("news_h"), F.lit(0.0)) - F.coalesce(get("news_a"), F.lit(0.0))) * NEWS
-    moved = [clip(get("v11_h") + shift, NEWS_LOW, NEWS_HIGH), get("v11_d"), clip(get("v11_a") - shift, NEWS_LOW, NEWS_HIGH)]
+    moved = [clip(get("first_h") + shift, NEWS_LOW, NEWS_HIGH), get("first_d"), clip(get("first_a") - shift, NEWS_LOW, NEWS_HIGH)]
     total = moved[0] + moved[1] + moved[2]
-    second = [F.coalesce(get(f"v9_{s}"), F.lit(NO_MODEL[s])) for s in THREE]
+    second = [F.coalesce(get(f"second_{s}"), F.lit(NO_MODEL[s])) for s in THREE]
     out = put(rows, [F.when(first, m / total).otherwise(s) for m, s in zip(moved, second, strict=True)])
-    lines = {x: F.when(first, F.coalesce(get(f"v11_{x}"), F.lit(NO_LINE))).otherwise(F.coalesce(get(f"v9_{x}"), F.lit(NO_LINE))) for x in LINES}
+    lines = {x: F.when(first, F.coalesce(get(f"first_{x}"), F.lit(NO_LINE))).otherwise(F.coalesce(get(f"second_{x}"), F.lit(NO_LINE))) for x in LINES}
     out = out.withColumns({f"_p_{x}": v for x, v in lines.items()})
     graph = three("graph")
     known = graph[0].isNotNull() & graph[1].isNotNull() & graph[2].isNotNull()

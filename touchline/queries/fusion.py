@@ -18,8 +18,8 @@ def _third(k: str, n: str, never: str) -> dict[str, str]:
 
 
 COLUMNS = {
-    **_third("ok", "v11", "ok % 3 = 0"), **_third("pk", "v9", "pk % 8 = 0"), **_third("sk", "graph", "sk % 4 = 1"), **_third("(pk + 2)", "tree", "pk % 5 = 2"), **_third("(ok + pk)", "goal", "ok % 6 = 5"), **_third("(sk + 1)", "iso", "sk % 2 = 0"),
-    "v11_btts": "(pk % 40 + 40) / 100e0", "v11_o25": "CASE WHEN pk % 9 = 0 THEN NULL ELSE (ok % 45 + 40) / 100e0 END", "v9_o15": "(ok % 30 + 60) / 100e0", "goal_btts": "CASE WHEN ok % 6 = 5 THEN NULL ELSE (sk % 50 + 30) / 100e0 END", "goal_o25": "CASE WHEN ok % 6 = 5 THEN NULL ELSE (sk % 60 + 20) / 100e0 END",
+    **_third("ok", "first", "ok % 3 = 0"), **_third("pk", "second", "pk % 8 = 0"), **_third("sk", "graph", "sk % 4 = 1"), **_third("(pk + 2)", "tree", "pk % 5 = 2"), **_third("(ok + pk)", "goal", "ok % 6 = 5"), **_third("(sk + 1)", "iso", "sk % 2 = 0"),
+    "first_btts": "(pk % 40 + 40) / 100e0", "first_o25": "CASE WHEN pk % 9 = 0 THEN NULL ELSE (ok % 45 + 40) / 100e0 END", "second_o15": "(ok % 30 + 60) / 100e0", "goal_btts": "CASE WHEN ok % 6 = 5 THEN NULL ELSE (sk % 50 + 30) / 100e0 END", "goal_o25": "CASE WHEN ok % 6 = 5 THEN NULL ELSE (sk % 60 + 20) / 100e0 END",
     "news_h": "CASE WHEN pk % 3 = 0 THEN NULL ELSE (pk % 9 - 4) / 10e0 END", "news_a": "(sk % 9 - 4) / 10e0", "graph_recommended": "CASE WHEN ok % 10 = 0 THEN NULL ELSE (ok % 20) / 100e0 END", "graph_loss_lift": "(pk % 11 - 3) / 1000e0", "graph_accuracy_lift": "(sk % 7 - 3) / 100e0",
     "press_h": "CASE WHEN pk % 7 = 3 THEN NULL ELSE (ok % 10) / 10e0 END", "press_a": "(pk % 10) / 10e0", "rank_h": "(ok % 20) / 20e0", "rank_a": "(pk % 20) / 20e0", "bias_h": "0.9e0 + (ok % 4) / 10e0", "bias_d": "CASE WHEN ok % 5 = 0 THEN NULL ELSE 1.1e0 END", "bias_a": "1.0e0 + (pk % 3) / 20e0",
 }
@@ -37,11 +37,11 @@ def _twin() -> str:
     mixed = lambda m, w: {s: f"p{s} * (1 - {w}) + coalesce({m}_{s}, 0e0) * {w}" for s in "hda"}
     columns = ", ".join(f"{x} AS {n}" for n, x in (COLUMNS | FLAGS).items())
     news = "((coalesce(news_h, 0e0) - coalesce(news_a, 0e0)) * 0.4e0)"
-    first = "v11_h IS NOT NULL"
-    h, a = held(f"coalesce(v11_h, 0.3e0) + {news}", "0.05", "0.95"), held(f"coalesce(v11_a, 0.3e0) - {news}", "0.05", "0.95")
-    line = lambda x: f"CASE WHEN {first} THEN {'coalesce(v11_' + x + ', 0.5e0)' if f'v11_{x}' in COLUMNS else '0.5e0'} ELSE {'coalesce(v9_' + x + ', 0.5e0)' if f'v9_{x}' in COLUMNS else '0.5e0'} END"
+    first = "first_h IS NOT NULL"
+    h, a = held(f"coalesce(first_h, 0.3e0) + {news}", "0.05", "0.95"), held(f"coalesce(first_a, 0.3e0) - {news}", "0.05", "0.95")
+    line = lambda x: f"CASE WHEN {first} THEN {'coalesce(first_' + x + ', 0.5e0)' if f'first_{x}' in COLUMNS else '0.5e0'} ELSE {'coalesce(second_' + x + ', 0.5e0)' if f'second_{x}' in COLUMNS else '0.5e0'} END"
     blended = lambda x: f"CASE WHEN goal_{x} IS NULL THEN {x} ELSE {held(f'{x} * 0.65e0 + goal_{x} * 0.35e0', '0.01', '0.99')} END"
-    steps.append(f"b AS (SELECT ok, ln, pk, sk, {columns} FROM pred), n AS (SELECT *, {h} AS nh, {a} AS na FROM b), s0 AS (SELECT * EXCLUDE (nh, na), CASE WHEN {first} THEN nh / (nh + v11_d + na) ELSE coalesce(v9_h, 0.33e0) END AS ph, CASE WHEN {first} THEN v11_d / (nh + v11_d + na) ELSE coalesce(v9_d, 0.34e0) END AS pd, CASE WHEN {first} THEN na / (nh + v11_d + na) ELSE coalesce(v9_a, 0.33e0) END AS pa, {', '.join(f'{line(x)} AS {x}' for x in U.LINES)},"
+    steps.append(f"b AS (SELECT ok, ln, pk, sk, {columns} FROM pred), n AS (SELECT *, {h} AS nh, {a} AS na FROM b), s0 AS (SELECT * EXCLUDE (nh, na), CASE WHEN {first} THEN nh / (nh + first_d + na) ELSE coalesce(second_h, 0.33e0) END AS ph, CASE WHEN {first} THEN first_d / (nh + first_d + na) ELSE coalesce(second_d, 0.34e0) END AS pd, CASE WHEN {first} THEN na / (nh + first_d + na) ELSE coalesce(second_a, 0.33e0) END AS pa, {', '.join(f'{line(x)} AS {x}' for x in U.LINES)},"
                  " CASE WHEN graph_h IS NULL THEN 0e0 ELSE least(0.20e0, greatest(0.04e0, greatest(0e0, coalesce(graph_recommended, 0e0))) + least(0.06e0, greatest(0e0, graph_loss_lift) * 8e0 + greatest(0e0, graph_accuracy_lift))) END AS gw FROM n)")
     step("s1", "s0", mixed("graph", "gw"), "graph_h IS NOT NULL")
     step("s2", "s1", mixed("tree", "0.15e0"), "tree_h IS NOT NULL")
