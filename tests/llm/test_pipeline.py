@@ -84,3 +84,26 @@ def test_leaks_go_row_by_row(spark):
     bench = spark.createDataFrame([(1, item), (2, "Only four words, in")], "item_id long, text string")
     assert {r.text for r in without_items(docs, bench).collect()} == {rows[1][1], rows[3][1]}
     assert {(r.doc_id, r.item_id) for r in find_items(docs, bench).collect()} == {(None, 1), (5, 1), (6, 2)}
+
+
+def test_quality_stage_takes_awkward_rows_and_names(spark):
+    """Nulls, empties, repeated rows, an empty table and columns of any name: rows are kept whole or dropped whole."""
+    names = ["_score", "score_", "_id", "_label", "_text", "batch", "quality", "_0"]
+    docs = documents(spark, [("en", 0, prose(1, 120), "s", "k", "w")] * 3)
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
+    out = corpus_pipeline.quality(spark, docs, SF)
+    assert out.columns == docs.columns
+    before = Counter(map(str, docs.collect()))
+    after = Counter(map(str, out.collect()))
+    assert all(before[r] == n for r, n in after.items()) and 0 < sum(after.values()) <= sum(before.values())
+    assert corpus_pipeline.quality(spark, docs.limit(0), SF).count() == 0
+
+
+def test_packing_takes_clashing_names(spark):
+    docs = documents(spark)
+    want = sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset) for r in corpus_pipeline.packing(spark, docs, SF).collect()), key=key)
+    for n in ("start", "length", "ids", "sequence_id", "offset", "total", "part", "_text"):
+        docs = docs.withColumn(n, F.lit(n))
+    got = sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset) for r in corpus_pipeline.packing(spark, docs, SF).collect()), key=key)
+    assert Counter((r[0], r[2], r[3]) for r in got) == Counter((r[0], r[2], r[3]) for r in want)

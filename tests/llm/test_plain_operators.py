@@ -220,3 +220,17 @@ def test_ids_of_hostile_texts_are_the_librarys():
         plain = Tokenizer.from_file(path)
         got = Encoder(path).encode(texts)
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_urls_of_very_many_labels(spark):
+    """A host is cut at the rules' numbers of labels alone, so its length costs no square."""
+    import time
+
+    rules = spark.createDataFrame([("example.com", "/x", "block"), ("a.b.c.d", "", "block"), ("com", "/ok", "allow")], "host string, path string, action string")
+    hosts = ["q." * 20_000 + "example.com", "a.b.c.d", "z.a.b.c.d", "b.c.d", "com", ".com", "x..example.com", "example.com.", "c.d"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("/x/1", "/ok", "")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    began = time.monotonic()
+    got = rows(judge_urls(pages, rules), "page_id", "host", "path", "rule", "verdict")
+    assert time.monotonic() - began < 30
+    assert got == [(i, *judge(u, [(r.host, r.path, r.action) for r in rules.collect()])) for i, u in enumerate(urls)]

@@ -176,3 +176,23 @@ def test_grades_follow_markers():
     marks = np.array([1] * 6 + [0] * 20)
     g = toxicity.grades(counts, marks)
     assert g[6:].max() == 0 and (np.diff(g[:6]) >= 0).all() and g[0] == 1 and g[5] == 3
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Every row's expected grade and probability from the model's numbers by a plain sum over words and word beginnings."""
+    import math
+
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.train_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    assert model.weights and model.cuts == sorted(model.cuts)
+    for docs in (documents(spark), table(spark, sf, "documents").filter("doc_id % 4 = 1")):
+        want = Counter()
+        for r in docs.collect():
+            words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+            counts = Counter(words) + Counter("^" + w[:4] for w in words if len(w) > 4)
+            z = sum(model.weights.get(w, 0.0) * math.log1p(n) for w, n in counts.items())
+            above = [1 / (1 + math.exp(min(30, max(-30, c - z)))) for c in model.cuts]
+            want[r.doc_id, round(sum(above), 8), round(above[0], 8), int(above[0] >= 0.3)] += 1
+        got = toxicity.score_toxicity(docs, model).collect()
+        assert Counter((r.doc_id, round(r.expected_severity, 8), round(r.score, 8), r.predicted) for r in got) == want
+    assert toxicity.score_toxicity(empty(spark), model).count() == 0

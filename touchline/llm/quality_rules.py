@@ -91,7 +91,7 @@ def quality_rules(docs: DataFrame, thresholds: list[tuple] = THRESHOLDS, id_col:
     """doc_id, base counts, base_failed, kept of every row; ratios with nothing to divide by are 0.
 
     Null texts count as empty and fail for want of words.  Rows with repeated or null ids are judged each; other
-    columns are ignored.
+    columns are ignored; an empty table gives no rows; very long texts are judged whole, at n log n.
     """
     base = base_columns(docs, id_col, text_col)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

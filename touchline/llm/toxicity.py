@@ -111,7 +111,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> Ordinal:
 def score_toxicity(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, expected_severity (0 to 3), score (probability of any grade above 0), predicted (1 if the score is at least FLAG).
 
-    Null and empty texts have no features.  Repeated and null ids are rows like others; other columns are ignored.
+    Null and empty texts have no features.  Repeated and null ids are rows like others; other columns are ignored; an empty table
+    gives no rows; very long texts are scored whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most the words of the bounded sample
 
