@@ -219,7 +219,7 @@ def f30(spark, sf_dir):
 
 @query("f30_variants", ctes("contests") + """, v AS (SELECT ok, ln, pk, sk, odds_h, odds_d, odds_a, CASE WHEN odds_h > 1 THEN 1 / odds_h END AS h, CASE WHEN odds_d > 1 THEN 1 / odds_d END AS d, CASE WHEN odds_a > 1 THEN 1 / odds_a END AS a,
  CASE WHEN odds_h > 1.01e0 THEN 1 / odds_h ELSE 1e-6 END AS ch, CASE WHEN odds_d > 1.01e0 THEN 1 / odds_d ELSE 1e-6 END AS cd, CASE WHEN odds_a > 1.01e0 THEN 1 / odds_a ELSE 1e-6 END AS ca FROM contests)
- SELECT ok, ln, pk, sk, round(h / nullif(coalesce(h, 0) + coalesce(d, 0) + coalesce(a, 0), 0), 4) AS partial_h, round(a / nullif(coalesce(h, 0) + coalesce(d, 0) + coalesce(a, 0), 0), 4) AS partial_a, CASE WHEN odds_h > 1.01e0 OR odds_d > 1.01e0 OR odds_a > 1.01e0 THEN round(ch / (ch + cd + ca), 9) END AS clipped_h,
+ SELECT ok, ln, pk, sk, CAST(round(CAST(h / nullif(coalesce(h, 0) + coalesce(d, 0) + coalesce(a, 0), 0) AS DECIMAL(38, 17)), 4) AS DOUBLE) AS partial_h, CAST(round(CAST(a / nullif(coalesce(h, 0) + coalesce(d, 0) + coalesce(a, 0), 0) AS DECIMAL(38, 17)), 4) AS DOUBLE) AS partial_a, CASE WHEN odds_h > 1.01e0 OR odds_d > 1.01e0 OR odds_a > 1.01e0 THEN round(ch / (ch + cd + ca), 9) END AS clipped_h,
  CASE WHEN odds_h > 1.01e0 OR odds_d > 1.01e0 OR odds_a > 1.01e0 THEN round(ca / (ch + cd + ca), 9) END AS clipped_a, round(1 / odds_h + 1 / odds_d + 1 / odds_a, 9) AS overround, CASE WHEN odds_h IS NOT NULL THEN round(least(0.99e0, greatest(0.01e0, 1 / odds_h)), 9) END AS clamped_h FROM v""")
 def f30_variants(spark, sf_dir):
     """The policies that ``f30_implied`` does not show."""
