@@ -257,3 +257,12 @@ def test_canonical_rows_follow_the_files(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(400).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert quality.canon(spark, str(tmp_path)).count() > first
     quality.forget_canon()
+
+
+def test_canonical_rows_are_sorted_only_once_dealt(spark):
+    """A sort of what each task reads grows with the files and spills; the rows of a fixture are ranked behind the exchange alone."""
+    rows = spark.range(10).selectExpr("concat('l', id % 1) AS league", "date_add(date'2024-01-01', int(id % 1)) AS match_date", "concat('a', id % 1) AS home", "concat('b', id % 1) AS away", "1 AS hg", "0 AS ag", *[f"cast(null as double) AS {c}" for c in [*M.STATS, "conf"]], "cast(null as string) AS source", *[f"id AS {c}" for c in M.TIE])
+    found = M.canonical(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.index("Sort [") < plan.index("Exchange hashpartitioning")
+    assert [r.ok for r in found.collect()] == [9]

@@ -38,13 +38,16 @@ def source_priority(source: Column) -> Column:
 
 
 def canonical(contests: DataFrame) -> DataFrame:
-    """One best row for each fixture: completeness, confidence, source, a known outcome, then the total order."""
+    """One best row for each fixture: completeness, confidence, source, a known outcome, then the total order.
+
+    Rows are dealt by fixture before they are ranked: Spark would else also rank, and so sort, what each task reads, whose size
+    follows that of the files, and spill it to drop hardly a row."""
     key = [F.lower(F.trim("league")), F.col("match_date"), F.lower(F.trim("home")), F.lower(F.trim("away"))]
     w = Window.partitionBy(*key).orderBy(
         completeness().desc(), F.coalesce("conf", F.lit(0.0)).desc(), source_priority(F.col("source")).desc(), F.when(outcome(F.col("hg"), F.col("ag")).isNotNull(), 1).otherwise(0).desc(), *[F.col(c).desc() for c in TIE]
     )
     known = contests.filter("league is not null and match_date is not null and home is not null and away is not null")
-    return known.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    return known.repartition(*key).withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
 def sides(matches: DataFrame) -> DataFrame:
