@@ -36,7 +36,8 @@ def d05(spark, sf_dir):
     """Every team's matches with the sequence before them: number of real steps, the newest step, and sums over all steps."""
     e = S.encode(S.team_matches(canon(spark, sf_dir), M.TIE), ORDER)
     total = F.aggregate("sequence", F.array_repeat(F.lit(0.0), S.WIDTH), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-    out = lambda x: F.transform(x, lambda v: F.round(v, 6))
+    # as the SQL rounds: a sum a hair below zero becomes the negative zero, which F.round loses
+    out = lambda x: F.transform(x, lambda v: F.when((v < 0) & (F.round(v, 6) == 0), F.lit(-0.0)).otherwise(F.round(v, 6)))
     return e.select("league", "team", "match_date", "was_home", *M.TIE, F.aggregate("mask", F.lit(0), lambda s, v: s + v).alias("steps"), out(F.element_at("sequence", -1)).alias("newest"), out(total).alias("total"))
 
 
