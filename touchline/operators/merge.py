@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,38 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], required: lis
     return old.unionByName(new.dropna(subset=required).join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
+def first_and_last(rows: DataFrame, keys: list[str], old: Column, new: Column, order: Column, fields: list[str]) -> DataFrame:
+    """keys, o and n: the ``fields`` of each key's least ``old`` row and of its greatest ``new`` one by ``order`` (null: it has none).  One
+    shuffle, of these fields alone."""
+    body = F.struct(*fields)
+    return rows.groupBy(*keys).agg(F.min_by(body, F.when(old, order)).alias("o"), F.max_by(body, F.when(new, order)).alias("n"))
+
+
+def _matched(keys: list[str]) -> Column:
+    """Whether a key has an old row; keys with a null match none."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys], F.col("o").isNotNull())
+
+
+def insert_ignore_versions(rows: DataFrame, keys: list[str], old: Column, new: Column, order: Column, required: list[str], fields: list[str]) -> DataFrame:
+    """``insert_ignore`` of two roles of one table's rows, which are picked as in ``first_and_last``: neither a second pass nor a join."""
+    enters = reduce(lambda a, b: a & b, [F.col(f"n.{c}").isNotNull() for c in required], ~_matched(keys))
+    per = first_and_last(rows, keys, old, new, order, fields)
+    return per.select(*keys, F.inline(F.array_compact(F.array("o", F.when(enters, F.col("n"))))))
+
+
+def id_or_key(rows: DataFrame, keys: list[str], old: Column, new: Column, order: Column, second: list[str], value: str) -> DataFrame:
+    """keys, ``value`` and how of each key's greatest ``new`` row: the value of the least ``old`` row of the same keys, or else the greatest of
+    the old rows with the same ``second`` keys.
+
+    Both roles come from one shuffle, written once; only rows without a value of their own are sent to their second keys."""
+    per = materialize(first_and_last(rows, keys, old, new, order, [*second, value]))
+    by_key = materialize(per.filter("o is not null").select("o.*").groupBy(*second).agg(F.max(value).alias("_b")).withColumn("_met", F.lit(True)))
+    asked = per.filter("n is not null").select(*keys, *[F.col(f"n.{c}").alias(c) for c in second], F.when(_matched(keys), F.col(f"o.{value}")).alias("_a"), _matched(keys).alias("_id"))
+    own = asked.filter("_a is not null").select(*keys, F.col("_a").alias(value), F.lit("id").alias("how"))
+    rest = asked.filter("_a is null").join(by_key, second, "left")
+    return own.unionByName(rest.select(*keys, F.col("_b").alias(value), F.when(F.col("_id"), "id").when(F.col("_met"), "key").otherwise("none").alias("how")))
+
+
 def merge_sources(rows: DataFrame, keys: list[str], rank: str, fields: list[str]) -> DataFrame:
     """One row for each key; each field comes from the best-ranked source that has it."""
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(rank))).alias(c) for c in fields]
