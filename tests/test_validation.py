@@ -194,3 +194,15 @@ def test_importances(spark):
             assert got[f, c].weight == pytest.approx(centred[k, c], abs=1e-9) and got[f, c].importance == pytest.approx(abs(centred[k, c]) * x[:, k].std(), abs=1e-9)
     assert sorted(r.place for r in got.values() if r["class"] == 1) == [1, 2, 3, 4, 5]
     assert got["a", 0].place == 1  # the first class was made of it
+
+
+def test_outcome_rows_are_written_once(spark, sf_dir):
+    # a model reads its rows in every step and once more to score them
+    assert "Exchange" not in Q.outcome_rows(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hidden_features_are_of_no_account(spark):
+    rows = spark.createDataFrame(data(300, 3), SCHEMA).withColumn("b", F.lit(1e200)).withColumn("models", F.array(F.lit(0), F.lit(1)))
+    w = V.fit_side_by_side(rows, FEATURES, [V.Spec(1.0, (0, 3)), V.Spec(1.0, (0, 3), 400.0)])
+    alone = V.fit_side_by_side(rows.withColumn("b", F.lit(0.0)), FEATURES, [V.Spec(1.0, (0, 3)), V.Spec(1.0, (0, 3), 400.0)])
+    assert np.isfinite(w).all() and np.allclose(w, alone, atol=1e-9)

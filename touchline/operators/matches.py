@@ -50,13 +50,13 @@ def canonical(contests: DataFrame) -> DataFrame:
     return known.repartition(*key).withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def sides(matches: DataFrame) -> DataFrame:
-    """Two rows for each match, one from each team's view."""
+def sides(matches: DataFrame, *keep: str) -> DataFrame:
+    """Two rows for each match, one from each team's view; both have the match's ``keep`` columns."""
     both = F.array(
         F.struct(F.col("home").alias("team"), F.col("away").alias("opponent"), F.lit(1).alias("at_home"), F.col("hg").alias("gf"), F.col("ag").alias("ga"), F.col("xg_h").alias("xg"), F.col("xg_a").alias("xga")),
         F.struct(F.col("away").alias("team"), F.col("home").alias("opponent"), F.lit(0).alias("at_home"), F.col("ag").alias("gf"), F.col("hg").alias("ga"), F.col("xg_a").alias("xg"), F.col("xg_h").alias("xga")),
     )
-    rows = matches.withColumn("_s", F.explode(both)).select("league", "match_date", "_s.*", *TIE)
+    rows = matches.withColumn("_s", F.explode(both)).select("league", "match_date", "_s.*", *TIE, *keep)
     points = F.when(F.col("gf") > F.col("ga"), 3).when(F.col("gf") == F.col("ga"), 1).otherwise(0)
     result = F.when(F.col("gf") > F.col("ga"), "W").when(F.col("gf") == F.col("ga"), "D").otherwise("L")
     return rows.withColumns({"pts": points, "res": result, "season": season_key(F.col("match_date"))})

@@ -67,63 +67,80 @@ def fit_side_by_side(rows: DataFrame, features: list[str], specs: list[Spec], st
     the model's number of rows.  A model without rows has zero weights."""
     width = len(features) + 1
     size = width * CLASSES
-    upper = np.triu_indices(size)
-    mask, half = _masks(specs, width), [s.half_life for s in specs]
+    mask = _masks(specs, width)
+    decay = np.array([0.0 if s.half_life is None else 1.0 / s.half_life for s in specs])
     ridges = np.array([s.ridge for s in specs])
-    held = rows.select(*[F.col(c).cast("double") for c in features], F.col("y").cast("int"), "models", F.col("age").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
-    count = 2 + size + len(upper[0])
+    held = rows.select(*[F.col(c).cast("double") for c in features], F.col("y").cast("int"), F.array_join("models", ",").alias("models"), F.col("age").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    # both halves of a Hessian are the same, in its features and in its classes
+    left, right = np.triu_indices(width)
+    one, other = np.triu_indices(CLASSES)
+    products, pairs = len(left), len(one)
+    same = (one == other).astype(float)
+    count = 2 + size + products * pairs
+
+    def totals(weights: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Rows, loss, gradient and Hessian of the models that are asked for.  Rows with the same list of models are worked on at once, and so are
+        all models of a list: what differs between models are the chances alone, not the products of features."""
 
-    def totals(weights: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
+            sums = np.zeros((len(specs), count))
             for batch in batches:
                 x = _table(batch.columns[: width - 1])
                 y, age = batch.column(width - 1).to_numpy(zero_copy_only=False), batch.column(width + 1).fill_null(0.0).to_numpy(zero_copy_only=False)
-                lists = batch.column(width)
-                ends = np.diff(lists.offsets.to_numpy())
-                row, model = np.repeat(np.arange(len(x)), ends), lists.flatten().to_numpy(zero_copy_only=False)
-                for k in np.unique(model).tolist():
-                    own = row[model == k]
-                    z, t = x[own] * mask[k], y[own].astype(int)
-                    w = np.ones(len(own)) if half[k] is None else 0.5 ** (age[own] / half[k])
-                    p = _softmax(z @ weights[k])
-                    wrong = p.copy()
-                    wrong[np.arange(len(own)), t] -= 1.0
-                    gradient = (z.T @ (wrong * w[:, None])).ravel()
-                    hessian = np.zeros((width, CLASSES, width, CLASSES))
-                    for a in range(CLASSES):
-                        for b in range(CLASSES):
-                            hessian[:, a, :, b] = z.T @ (z * (w * p[:, a] * ((a == b) - p[:, b]))[:, None])
-                    loss = -(w * np.log(np.maximum(p[np.arange(len(own)), t], 1e-300))).sum()
-                    part = np.concatenate([[len(own), loss], gradient, hessian.reshape(size, size)[upper]])
-                    sums[k] = sums.get(k, 0.0) + part
-            for k, v in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, k, np.int32)), pa.array(np.arange(count, dtype=np.int32)), pa.array(v)], ["model", "k", "v"])
+                lists = batch.column(width).fill_null("").dictionary_encode()
+                at = lists.indices.to_numpy()
+                for i, text in enumerate(lists.dictionary.to_pylist()):
+                    own = np.flatnonzero(at == i)
+                    models, times = np.unique(np.array([int(k) for k in text.split(",") if k], int), return_counts=True)
+                    models, times = models[asked[models]], times[asked[models]]
+                    if not len(models):
+                        continue
+                    z, t = x[own], y[own].astype(int)
+                    w = times * np.where(decay[models] > 0, 0.5 ** (age[own][:, None] * decay[models]), 1.0)
+                    p = _softmax((z @ (weights[models] * mask[models][:, :, None]).transpose(1, 0, 2).reshape(width, -1)).reshape(-1, CLASSES)).reshape(len(own), len(models), CLASSES)
+                    hit = p[np.arange(len(own)), :, t]
+                    bent = np.empty((len(own), len(models), pairs))
+                    for j in range(pairs):
+                        bent[:, :, j] = w * p[:, :, one[j]] * (same[j] - p[:, :, other[j]])
+                    p[np.arange(len(own)), :, t] -= 1.0
+                    gradient = (z.T @ (p * w[:, :, None]).reshape(len(own), -1)).reshape(width, len(models), CLASSES)
+                    hessian = ((z[:, left] * z[:, right]).T @ bent.reshape(len(own), -1)).reshape(products, len(models), pairs)
+                    sums[models, 0] += len(own) * times
+                    sums[models, 1] -= (w * np.log(np.maximum(hit, 1e-300))).sum(0)
+                    sums[models, 2 : 2 + size] += gradient.transpose(1, 0, 2).reshape(len(models), -1)
+                    sums[models, 2 + size :] += hessian.transpose(1, 0, 2).reshape(len(models), -1)
+            for k in np.flatnonzero(sums[:, 0]).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, k, np.int32)), pa.array(np.arange(count, dtype=np.int32)), pa.array(sums[k])], ["model", "k", "v"])
 
         out = np.zeros((len(specs), count))
         for r in held.mapInArrow(run, "model int, k int, v double").groupBy("model", "k").agg(F.sum("v").alias("v")).collect():  # models x parameters squared
             out[r.model, r.k] = r.v
         return out
 
+    product = np.zeros((width, width), int)
+    product[left, right] = product[right, left] = np.arange(products)
+    pair = np.zeros((CLASSES, CLASSES), int)
+    pair[one, other] = pair[other, one] = np.arange(pairs)
+
     weights = np.zeros((len(specs), width, CLASSES))
     before, last = weights.copy(), np.full(len(specs), np.inf)
     done = np.zeros(len(specs), bool)
     try:
         for _ in range(steps):
-            found = totals(weights)
+            found = totals(weights, ~done)
             for k in np.flatnonzero(~done):
                 n, w = found[k, 0], weights[k].ravel()
                 loss = found[k, 1] + ridges[k] / 2 * w @ w
                 if loss > last[k] + 1e-9 * max(1.0, abs(last[k])):
                     weights[k] = (weights[k] + before[k]) / 2
                     continue
-                gradient = found[k, 2 : 2 + size] + ridges[k] * w
+                seen = np.repeat(mask[k] > 0, CLASSES)
+                gradient = np.where(seen, found[k, 2 : 2 + size], 0.0) + ridges[k] * w
                 if not n or np.abs(gradient).max() <= tolerance * n:
                     done[k] = True
                     continue
-                hessian = np.zeros((size, size))
-                hessian[upper] = found[k, 2 + size :]
-                hessian = hessian + np.triu(hessian, 1).T + ridges[k] * np.eye(size)
+                blocks = found[k, 2 + size :].reshape(products, pairs)[product][:, :, pair].transpose(0, 2, 1, 3)
+                hessian = np.where(np.outer(seen, seen), blocks.reshape(size, size), 0.0) + ridges[k] * np.eye(size)
                 before[k], last[k] = weights[k], loss
                 weights[k] = weights[k] - np.linalg.solve(hessian, gradient).reshape(width, CLASSES)
             if done.all():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.durable import materialize
 from touchline.functions.prob import outcome
 from touchline.operators import calibration as K
 from touchline.operators import matches as M
@@ -18,16 +19,28 @@ PAST = [f"{side}_{c}" for side in ("h", "a") for c in ("gf", "ga", "pts")]
 FEATURES = [*MARKET, *PAST]
 
 
-def outcome_rows(spark, sf_dir) -> DataFrame:
-    """league, year, age, y, implied probabilities (null if a price is missing), what both teams did before, and the keys of each match."""
-    past = V.history_features(M.sides(canon(spark, sf_dir)), ["match_date", *M.TIE, "at_home"])
-    side = lambda k, p: [F.max(F.when(F.col("at_home") == k, F.col(f"past_{c}"))).alias(f"{p}_{c}") for c in ("gf", "ga", "pts")]
-    both = past.groupBy("league", *M.TIE).agg(*side(1, "h"), *side(0, "a"))
+#: What the rows of a match say themselves.
+OWN = ["year", "age", "y", *MARKET]
+
+
+def priced(spark, sf_dir) -> DataFrame:
+    """The canonical rows and OWN: year, age, result (null: unknown) and implied probabilities (null if a price is missing)."""
     inverse = [1.0 / F.col(c) for c in ("odds_h", "odds_d", "odds_a")]
     total = inverse[0] + inverse[1] + inverse[2]
     y = outcome(F.col("hg"), F.col("ag"))
-    matches = canon(spark, sf_dir).select("league", *M.TIE, "match_date", F.year("match_date").alias("year"), F.datediff(F.lit(LAST).cast("date"), "match_date").cast("double").alias("age"), F.when(y == "H", 0).when(y == "D", 1).when(y == "A", 2).alias("y"), *[(x / total).alias(n) for x, n in zip(inverse, MARKET, strict=True)])
-    return matches.filter("y is not null").join(both, ["league", *M.TIE])
+    own = {"year": F.year("match_date"), "age": F.datediff(F.lit(LAST).cast("date"), "match_date").cast("double"), "y": F.when(y == "H", 0).when(y == "D", 1).when(y == "A", 2)}
+    return canon(spark, sf_dir).withColumns(own | {n: x / total for x, n in zip(inverse, MARKET, strict=True)})
+
+
+def outcome_rows(spark, sf_dir) -> DataFrame:
+    """league, year, age, y, implied probabilities (null if a price is missing), what both teams did before, and the keys of each match.
+
+    The match's own columns travel with its home side, so both sides meet in one aggregation; the rows are written once, as models read them many times."""
+    past = V.history_features(M.sides(priced(spark, sf_dir), *OWN), ["match_date", *M.TIE, "at_home"])
+    at = lambda k, c: F.max(F.when(F.col("at_home") == k, F.col(c)))
+    history = [at(k, f"past_{c}").alias(f"{p}_{c}") for k, p in ((1, "h"), (0, "a")) for c in ("gf", "ga", "pts")]
+    both = past.groupBy("league", *M.TIE, "match_date").agg(*[at(1, c).alias(c) for c in OWN], *history)
+    return materialize(both.filter("y is not null").dropna(subset=M.TIE))
 
 
 @query("m06_walk_forward")
@@ -65,7 +78,7 @@ def m11(spark, sf_dir):
 @query("m01_league_isotonic")
 def m01(spark, sf_dir):
     """Calibrated probabilities of every match with prices: one fit for each league and outcome on its newest 3,000; no SQL."""
-    rows = outcome_rows(spark, sf_dir).filter("m_h is not null")
+    rows = priced(spark, sf_dir).filter("y is not null and m_h is not null").dropna(subset=M.TIE)
     named = rows.select("league", "match_date", *M.TIE, F.element_at(F.array(F.lit("H"), F.lit("D"), F.lit("A")), F.col("y") + 1).alias("ftr"), *[F.col(m).alias(p) for m, p in zip(MARKET, K.OUTCOMES.values(), strict=True)])
     found = K.calibrate(named, K.fit_isotonic(named), ["league", *M.TIE])
     return found.select("league", *M.TIE, *[F.round(c, 9).alias(c) for c in ("cal_h", "cal_d", "cal_a")])
