@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -178,9 +179,30 @@ def _pick(p: Column) -> Column:
 
 def _metrics(p: Column, y: Column) -> list[Column]:
     """Aggregates of probabilities (array) against classes: accuracy, log loss, Brier score."""
-    own = F.element_at(p, (y + 1).cast("int"))
     squares = F.aggregate(F.transform(p, lambda x, i: F.pow(x - F.when(i == y, 1.0).otherwise(0.0), 2)), F.lit(0.0), lambda s, v: s + v)
-    return [F.avg((_pick(p) == y).cast("double")).alias("accuracy"), (-F.avg(F.log(F.greatest(F.least(own, F.lit(1.0)), F.lit(EPS))))).alias("log_loss"), F.avg(squares).alias("brier")]
+    return [F.avg((_pick(p) == y).cast("double")).alias("accuracy"), _log_loss(F.element_at(p, (y + 1).cast("int"))).alias("log_loss"), F.avg(squares).alias("brier")]
+
+
+def _softmax_columns(z: list[Column], temperature: Column) -> list[Column]:
+    """``probabilities`` of single columns: the same sums in the same order, without a list in each row."""
+    e = [F.exp((x - F.greatest(*z)) / temperature) for x in z]
+    total = reduce(lambda a, b: a + b, e, F.lit(0.0))
+    return [x / total for x in e]
+
+
+def _own(p: list[Column], y: Column) -> Column:
+    """The probability of the row's own class."""
+    return reduce(lambda rest, k: F.when(y == k, p[k]).otherwise(rest), range(len(p)), F.lit(None).cast("double"))
+
+
+def _log_loss(own: Column) -> Column:
+    return -F.avg(F.log(F.greatest(F.least(own, F.lit(1.0)), F.lit(EPS))))
+
+
+def _first_of_best(p: list[Column]) -> Column:
+    """``_pick`` of single columns."""
+    top = F.greatest(*p)
+    return reduce(lambda rest, k: F.when(p[k] == top, k).otherwise(rest), reversed(range(len(p))), F.lit(None).cast("int"))
 
 
 def history_features(sides: DataFrame, order: list[str]) -> DataFrame:
@@ -212,17 +234,22 @@ def walk_forward(rows: DataFrame, features: list[str], market: list[str], min_tr
     m = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in market])
     scored = materialize(judged.select("fold", "y", m.alias("m"), logits(weights, features, F.col("fold")).alias("z")))
     has = F.aggregate("m", F.lit(0.0), lambda s, v: s + v) > 0
-    hot = scored.withColumn("t", F.explode(F.array(*[F.lit(t) for t in TEMPERATURES])))
-    loss = hot.groupBy("fold", "t").agg(_metrics(probabilities(F.col("z"), F.col("t")), F.col("y"))[1].alias("l"))
+    # rows times temperatures, and rows times weights: plain columns, so that Spark compiles these loops
+    hot = scored.select("fold", "y", *[F.col("z")[k].alias(f"z{k}") for k in range(CLASSES)], F.explode(F.array(*[F.lit(t) for t in TEMPERATURES])).alias("t"))
+    chances = hot.select("fold", "t", "y", *[c.alias(f"p{k}") for k, c in enumerate(_softmax_columns([F.col(f"z{k}") for k in range(CLASSES)], F.col("t")))])
+    loss = chances.groupBy("fold", "t").agg(_log_loss(_own([F.col(f"p{k}") for k in range(CLASSES)], F.col("y"))).alias("l"))
     cooled = loss.groupBy("fold").agg(F.min(F.struct(F.round("l", 12).alias("l"), "t")).alias("b")).select("fold", F.col("b.t").alias("temperature"))
     said = materialize(scored.join(cooled, "fold").select("fold", "y", "m", has.alias("has"), "temperature", probabilities(F.col("z"), F.col("temperature")).alias("p")))
     own = said.groupBy("fold").agg(*[c.alias(f"model_{n}") for c, n in zip(_metrics(F.col("p"), F.col("y")), ("accuracy", "log_loss", "brier"), strict=True)], F.avg(F.col("has").cast("double")).alias("market_coverage"), F.first("temperature").alias("temperature"))
     priced = said.filter("has")
     market_side = priced.groupBy("fold").agg(*[c.alias(f"market_{n}") for c, n in zip(_metrics(F.col("m"), F.col("y")), ("accuracy", "log_loss", "brier"), strict=True)])
-    mixed = priced.withColumn("w", F.explode(F.array(*[F.lit(w) for w in WEIGHTS])))
-    parts = F.zip_with("m", "p", lambda a, b: F.least(F.lit(1.0), F.greatest(F.lit(EPS), a * (1 - F.col("w")) + b * F.col("w"))))
-    mixed = mixed.withColumn("b", parts).withColumn("b", F.transform("b", lambda x: x / F.aggregate("b", F.lit(0.0), lambda s, v: s + v)))
-    blends = mixed.groupBy("fold", "w").agg(*_metrics(F.col("b"), F.col("y")))
+    mixed = priced.select("fold", "y", *[F.col(c)[k].alias(f"{c}{k}") for c in ("m", "p") for k in range(CLASSES)], F.explode(F.array(*[F.lit(w) for w in WEIGHTS])).alias("w"))
+    mixed = mixed.select("fold", "y", "w", *[F.least(F.lit(1.0), F.greatest(F.lit(EPS), F.col(f"m{k}") * (1 - F.col("w")) + F.col(f"p{k}") * F.col("w"))).alias(f"b{k}") for k in range(CLASSES)])
+    parts = [F.col(f"b{k}") for k in range(CLASSES)]
+    total = reduce(lambda a, b: a + b, parts, F.lit(0.0))
+    mixed = mixed.select("fold", "y", "w", *[(p / total).alias(f"b{k}") for k, p in enumerate(parts)])
+    squares = reduce(lambda a, b: a + b, [F.pow(p - F.when(F.col("y") == k, 1.0).otherwise(0.0), 2) for k, p in enumerate(parts)], F.lit(0.0))
+    blends = mixed.groupBy("fold", "w").agg(F.avg((_first_of_best(parts) == F.col("y")).cast("double")).alias("accuracy"), _log_loss(_own(parts, F.col("y"))).alias("log_loss"), F.avg(squares).alias("brier"))
     best = blends.groupBy("fold").agg(F.min(F.struct(F.round("log_loss", 12).alias("l"), (-F.col("accuracy")).alias("a"), "w", "brier")).alias("b"))
     best = best.select("fold", F.col("b.w").alias("blend_weight"), (-F.col("b.a")).alias("blend_accuracy"), F.col("b.l").alias("blend_log_loss"), F.col("b.brier").alias("blend_brier"))
     found = folds.join(own, "fold").join(market_side, "fold", "left").join(best, "fold", "left")
