@@ -136,6 +136,20 @@ def test_encoder_equals_library(name, spark, sf_dir):
             assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_words_come_from_the_model(name):
+    """Chunks of letters never pass the library's whole pipeline, and each different one is asked for once."""
+    own, asked, learned = Encoder(vocabulary_path(name)), [], []
+    many, learn = own._many, own._learn
+    own._many = lambda chunks: asked.extend(chunks) or many(chunks)
+    own._learn = lambda chunks: learned.extend(chunks) or learn(chunks)
+    texts = ["The Ÿ naïve, ÉTÉ; ßtraße (xx don't It's a1 The The", "Lovely lovely ÿþ... ×× a÷b ªº İx", None, "", "The The, lovely\nnaïve"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert len(learned) == len(set(learned)) and " naïve," in learned
+    assert not [c for c in asked if c.strip(" ,;.").isalpha() and not set("ŸªºİĿ") & set(c)]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_added_tokens_equal_a_fresh_tokenizer(name, spark, sf_dir):
     from tokenizers import Tokenizer

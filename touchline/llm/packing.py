@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import claim_worker, materialize, text_chunks
-from touchline.llm.tokens import encoder, vocabulary_path
+from touchline.llm.tokens import STEP_BYTES, encoder, vocabulary_path
 
 WINDOW, END_ID = 4096, 2
 
@@ -36,8 +36,8 @@ def encode_partitions(docs: DataFrame, vocabulary: str, end_id: int, id_col: str
             raise ValueError("packing keeps ids in two bytes: the vocabulary has more than 65,536")
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a, b, _, _ in text_chunks(batch.column(1)):
-                blobs = [np.frombuffer(x + end, "<u4").astype("<u2") for x in encode(batch.column(1).slice(a, b - a).to_pylist())]
+            for a, b, _, _ in text_chunks(batch.column(1), STEP_BYTES):
+                blobs = [np.frombuffer(x + end, "<u4").astype("<u2") for x in encode(batch.column(1).slice(a, b - a))]
                 n = np.array([len(x) for x in blobs], np.int64)
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
