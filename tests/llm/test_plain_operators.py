@@ -136,7 +136,7 @@ def test_encoder_equals_library(name, spark, sf_dir):
             assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_words_come_from_the_model(name):
     """Chunks of letters never pass the library's whole pipeline, and each different one is asked for once."""
     own, asked, learned = Encoder(vocabulary_path(name)), [], []
@@ -163,6 +163,16 @@ def test_added_tokens_equal_a_fresh_tokenizer(name, spark, sf_dir):
             assert np.frombuffer(ids, "<u4").tolist() == fresh.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("first", "rounds"), [(50257, 4), (70000, 4), (300, 9)])
+def test_grammars_of_narrow_and_wide_ids(first, rounds):
+    for n in (0, 1, 2, 5000, 60000):
+        ids = (np.random.default_rng(n).zipf(1.3, n) % first).astype("<u4")
+        symbols, rules = token_files.compress(ids, first, rounds=rounds)
+        assert (token_files.expand(symbols, rules, first) == ids).all() and (n < 5000 or len(symbols) < n)
+        lengths = token_files.expansion_lengths(rules, first)
+        assert len(ids) == (symbols < first).sum() + lengths[symbols[symbols >= first].astype(int) - first].sum()
+
+
 def test_token_files(spark, sf_dir):
     own = Encoder(vocabulary_path("byte_bpe_50k.json"))
     for docs in (documents(spark), table(spark, sf_dir, "documents")):

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import Materialized, claim_worker, text_chunks
-from touchline.llm.tokens import encoder, vocabulary_path
+from touchline.llm.tokens import STEP_BYTES, encoder, vocabulary_path
 
 END_ID = 2
 #: Rounds of replacement, pairs replaced in a round, and the occurrences that a pair needs.
@@ -39,30 +40,37 @@ def compress(ids: np.ndarray, first: int, barrier: int = END_ID, rounds: int = R
     Pairs with the barrier are never replaced, so a document's last id stays a symbol.  The pairs of one round never
     overlap: no symbol is the left part of one and the right part of another.
     """
-    seq, rules = ids.astype(np.int64), []
+    narrow = first + rounds * PAIRS <= 1 << 16 and (not len(ids) or int(ids.max()) < 1 << 16)  # a pair fits into 32 bits, which sort faster
+    kind, half, spread, drop = (np.uint32, 16, 2654435761, 15) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15, 47)
+    seq, rules = ids.astype(kind), []
     for _ in range(rounds):
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]
-        slot = ((left * 40503) ^ (right * 2654435761 >> 7)) & (_SLOTS - 1)
+        codes = (left << kind(half)) | right
+        slot = ((codes * kind(spread)) >> kind(drop)).astype(np.int64)
         counts = np.bincount(slot, minlength=_SLOTS)
         floor = max(LEAST, int(np.partition(counts, -4 * PAIRS)[-4 * PAIRS]))
         place = np.flatnonzero((counts >= floor)[slot] & (left != barrier) & (right != barrier) & (left != right))
-        code = (left[place] << 32) | right[place]
+        code = codes[place]
         pairs, n = np.unique(code, return_counts=True)
         chosen, lefts, rights = [], set(), set()
-        for k in np.lexsort((pairs, -n))[: 4 * PAIRS]:
-            a, b = int(pairs[k] >> 32), int(pairs[k] & 0xFFFFFFFF)
-            if n[k] < LEAST or len(chosen) == PAIRS:
+        best = np.lexsort((pairs, -n))[: 4 * PAIRS]
+        for pair, count in zip(pairs[best].tolist(), n[best].tolist(), strict=True):
+            a, b = pair >> half, pair & ((1 << half) - 1)
+            if count < LEAST or len(chosen) == PAIRS:
                 break
             if a not in rights and b not in lefts:
                 lefts.add(a)
                 rights.add(b)
-                chosen.append(int(pairs[k]))
+                chosen.append(pair)
         if not chosen:
             break
         chosen.sort()
-        table = np.array(chosen, np.int64)
+        table, likely = np.array(chosen, kind), np.zeros(_SLOTS, bool)
+        likely[(table * kind(spread)) >> kind(drop)] = True
+        place = place[likely[slot[place]]]
+        code = codes[place]
         at = np.minimum(np.searchsorted(table, code), len(table) - 1)
         hit = table[at] == code
         seq = seq.copy()
@@ -70,7 +78,7 @@ def compress(ids: np.ndarray, first: int, barrier: int = END_ID, rounds: int = R
         keep = np.ones(len(seq), bool)
         keep[place[hit] + 1] = False
         seq = seq[keep]
-        rules += [(c >> 32, c & 0xFFFFFFFF) for c in chosen]
+        rules += [(c >> half, c & ((1 << half) - 1)) for c in chosen]
     return seq.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2)
 
 
@@ -82,17 +90,25 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = symbols.astype(np.int64)
-    while True:
-        more = seq >= first
-        if not more.any():
-            return seq.astype(np.uint32)
-        place = np.arange(len(seq)) + np.cumsum(more) - more
-        out = np.empty(len(seq) + int(more.sum()), np.int64)
-        out[place] = np.where(more, rules[np.where(more, seq - first, 0), 0] if len(rules) else 0, seq)
-        out[place[more] + 1] = rules[seq[more] - first, 1]
-        seq = out
+    """The ids that symbols stand for: each rule is expanded once, from those before it, and copied to its places."""
+    if not len(rules):
+        return symbols.astype(np.uint32)
+    parts: list[list[int]] = []
+    for a, b in rules.tolist():
+        parts.append((parts[a - first] if a >= first else [a]) + (parts[b - first] if b >= first else [b]))
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat, begin = np.fromiter(chain.from_iterable(parts), np.uint32, int(size.sum())), np.cumsum(size) - size
+    more = np.flatnonzero(symbols >= first)
+    rule = symbols[more].astype(np.int64) - first
+    counts = np.ones(len(symbols), np.int64)
+    counts[more] = size[rule]
+    out, place = np.repeat(symbols.astype(np.uint32), counts), (np.cumsum(counts) - counts)[more]
+    for k in range(int(counts.max(initial=0))):  # a rule's expansion has at most 2 ** ROUNDS ids
+        if k:
+            deep = counts[more] > k
+            more, rule, place = more[deep], rule[deep], place[deep]
+        out[place + k] = flat[begin[rule] + k]
+    return out
 
 
 def read_ids(block: dict, doc: int, start: int, stop: int) -> np.ndarray:
@@ -122,8 +138,10 @@ def write_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
         shard, block, before, coder = TaskContext.get().partitionId(), 0, 0, encoder(path)
         first, end = max(coder.tokenizer.get_vocab_size(), end_id + 1), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a, b, _, _ in text_chunks(batch.column(1), BLOCK_BYTES):
-                blobs = [x + end for x in coder.encode(batch.column(1).slice(a, b - a).to_pylist())]
+            steps = ((a, batch.column(1).slice(a, b - a)) for a, b, _, _ in text_chunks(batch.column(1), STEP_BYTES))
+            blocks = ((a + c, a + d, blobs[c:d]) for a, texts in steps for blobs in [coder.encode(texts)] for c, d, _, _ in text_chunks(texts, BLOCK_BYTES))
+            for a, b, blobs in blocks:
+                blobs = [x + end for x in blobs]
                 counts = np.array([len(x) // 4 for x in blobs], np.int64)
                 ids = np.frombuffer(b"".join(blobs), "<u4")
                 symbols, rules = compress(ids, first, end_id)
